@@ -8,9 +8,38 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontam import find_matches
 from .line_dedup import drop_common_lines
+from .lm_pst import score_texts
 from .mixing import mix
 from .ngram_join import jaccard_components
+from .pii import find_personal_data
 from .quality import compression_bands
+from .secrets import KINDS, find_secrets, joined
+from .tool_calls import link_tool_calls
+from .url_filter import judge_urls
+
+
+def op1_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_tool_calls(table(spark, sf_dir, "conversations"))
+
+
+def _of_kind(k: int):
+    return lambda x: x["rank"] == k
+
+
+def op3_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:3])]
+    return found.select("doc_id", *counts, F.sha2(F.encode(joined(F.col("base")), "UTF-8"), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"))
+
+
+def op4_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.encode("base", "UTF-8"), 256).alias("base_sha256"), "spans", "n_added")
 
 
 def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +52,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_common_lines(docs, min_docs=10, min_chars=1).select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_matches(docs, table(spark, sf_dir, "benchmark"), window=10)
@@ -39,4 +72,18 @@ def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op5_compression_bands, op6_line_dedup, op8_suffix_decontamination, op9_ngram_jaccard, op10_pivotal_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_ratio,
+        op2_tool_calls,
+        op3_entropy_secrets,
+        op4_semi_markov_pii,
+        op5_compression_bands,
+        op6_line_dedup,
+        op7_suffix_tree,
+        op8_suffix_decontamination,
+        op9_ngram_jaccard,
+        op10_pivotal_mixing,
+    )
+}
