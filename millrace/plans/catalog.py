@@ -2,13 +2,113 @@
 
 from __future__ import annotations
 
-from ..operators import relational
+from ..functions import scalar, udfs
+from ..operators import relational, windows
+from ..sources import sinks
+from ..streaming import events
 
-QUERIES = {f.__name__: f for f in (relational.c04_region_revenue,)}
+QUERIES = {name: f for module in (relational, windows, scalar, udfs, sinks, events) for name, f in sorted(vars(module).items()) if name.startswith("c") and name[1:3].isdigit()}
+
+_TUMBLING = "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL"
+_SESSIONS = """
+SELECT user_id, min(ts) AS start, count(*) AS n, max(ts) AS last FROM (
+  SELECT *, sum(CASE WHEN gap IS NULL OR gap >= INTERVAL '30 minutes' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
+  FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)
+) GROUP BY user_id, s"""
 
 ORACLES = {
+    "c01_scan": "SELECT * FROM customer",
+    "c02_projection": "SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) AS net, l_quantity > 25 AS large FROM lineitem",
+    "c03_filter": "SELECT p_partkey, p_name, p_size FROM part WHERE p_size IN (1, 5, 9, 14, 30) AND p_brand LIKE 'Brand#%' AND p_retailprice BETWEEN 900 AND 1800",
     "c04_region_revenue": """
 SELECT r_name, count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 GROUP BY r_name""",
+    "c05_outer_joins": """
+WITH d AS (SELECT doc_id FROM documents WHERE lang <> 'fr'), l AS (SELECT doc_id FROM labels WHERE quality = 1)
+SELECT kind, has_doc, has_label, count(*) AS n FROM (
+  SELECT 'left' AS kind, d.doc_id IS NOT NULL AS has_doc, l.doc_id IS NOT NULL AS has_label FROM d LEFT JOIN l ON d.doc_id = l.doc_id
+  UNION ALL SELECT 'right', d.doc_id IS NOT NULL, l.doc_id IS NOT NULL FROM d RIGHT JOIN l ON d.doc_id = l.doc_id
+  UNION ALL SELECT 'full', d.doc_id IS NOT NULL, l.doc_id IS NOT NULL FROM d FULL JOIN l ON d.doc_id = l.doc_id
+) GROUP BY ALL""",
+    "c06_semi_join": "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
+    "c07_anti_join": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "c08_range_join": "SELECT p_partkey, count(*) AS n_customers, min(c_custkey) AS first_customer FROM part JOIN customer ON c_acctbal >= p_retailprice - 5 AND c_acctbal <= p_retailprice + 5 GROUP BY p_partkey",
+    "c09_asof_join": """
+SELECT c.event_id, c.user_id, v.event_id AS view_id, v.ts AS view_ts
+FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF JOIN (SELECT * FROM events WHERE event_type = 'view') v ON c.user_id = v.user_id AND c.ts >= v.ts""",
+    "c10_cross_join": "SELECT n_name, r_name FROM nation, region",
+    "c11_lateral": "SELECT c_custkey, o_orderkey, o_totalprice FROM customer, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 1)",
+    "c12_subqueries": """
+SELECT o_orderkey, o_totalprice FROM orders o
+WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)
+  AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 45)
+  AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""",
+    "c13_aggregate": """
+SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS sum_price,
+  round(CAST(sum(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) / count(*), 6) AS avg_discount, min(l_shipdate) AS first_ship, max(l_extendedprice) AS top_price, count(*) AS n
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""",
+    "c14_distinct_aggregate": "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT (l_suppkey, l_linenumber)) AS pairs FROM lineitem GROUP BY l_returnflag",
+    "c15_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping_id(o_orderstatus, o_orderpriority) AS BIGINT) AS gid FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    "c16_rollup": """
+SELECT CAST(y AS INTEGER) AS year, o_orderstatus, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total, CAST(grouping_id(y, o_orderstatus) AS BIGINT) AS gid
+FROM (SELECT *, year(o_orderdate) AS y FROM orders) GROUP BY ROLLUP (y, o_orderstatus)""",
+    "c16_grouping_sets": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
+    "c17_percentiles": "SELECT o_orderpriority, round(median(o_totalprice), 4) AS median, round(quantile_cont(o_totalprice, 0.9), 4) AS p90 FROM orders GROUP BY o_orderpriority",
+    "c19_pivot": """
+SELECT o_orderpriority, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS F, nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS O, nullif(count(*) FILTER (o_orderstatus = 'P'), 0) AS P
+FROM orders GROUP BY o_orderpriority""",
+    "c19_unpivot": "SELECT p_partkey, 'size' AS what, CAST(p_size AS DOUBLE) AS amount FROM part UNION ALL SELECT p_partkey, 'price', p_retailprice FROM part",
+    "c20_ranking": """
+SELECT o_orderkey, CAST(row_number() OVER w AS INTEGER) AS rn, CAST(ntile(4) OVER w AS INTEGER) AS quarter,
+  CAST(rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS INTEGER) AS rnk, CAST(dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS INTEGER) AS dense
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)""",
+    "c21_analytic": """
+SELECT event_id, lag(event_id) OVER w AS prev_id, lead(event_type, 2, 'none') OVER w AS later_type,
+  first_value(event_id) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first_id, last_value(event_id) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_id
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
+    "c22_frames": """
+SELECT event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS last3,
+  count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS last_hour FROM events""",
+    "c23_sort_limit": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5",
+    "c23_top_per_group": "SELECT o_orderpriority, o_orderkey, CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3",
+    "c24_union": "SELECT kind, nation, count(*) AS n FROM (SELECT 'customer' AS kind, c_nationkey AS nation FROM customer UNION ALL SELECT 'supplier', s_nationkey FROM supplier) GROUP BY ALL",
+    "c25_intersect": "SELECT l_orderkey AS k FROM lineitem INTERSECT SELECT o_orderkey FROM orders",
+    "c25_except": "SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey FROM lineitem",
+    "c25_except_all": "SELECT l_linenumber, count(*) AS n FROM (SELECT l_linenumber FROM lineitem EXCEPT ALL SELECT l_linenumber FROM lineitem WHERE l_returnflag = 'A') GROUP BY l_linenumber",
+    "c26_strings": """
+SELECT p_partkey, upper(p_name) AS up, regexp_extract(p_brand, '([0-9]+)', 1) AS brand_no, string_split(p_type, ' ')[1] AS first_word, length(p_name) AS len,
+  lpad(CAST(p_size AS VARCHAR), 4, '0') AS padded, replace(p_brand, '#', '-') AS dashed, substring(p_name, 1, 3) || '/' || reverse(p_brand) AS mixed FROM part""",
+    "c27_dates": """
+SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(quarter(o_orderdate) AS INTEGER) AS q, CAST(isodow(o_orderdate) AS INTEGER) AS iso_day, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
+  CAST(o_orderdate AS DATE) + 45 AS due, CAST(DATE '2002-01-01' - CAST(o_orderdate AS DATE) AS INTEGER) AS age, strftime(o_orderdate, '%Y-%m-%d') AS text FROM orders""",
+    "c28_math": """
+SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) AS whole, round(sqrt(l_quantity), 6) AS root, round(pow(l_quantity, 1.5), 4) AS power, round(log10(l_extendedprice + 1), 6) AS log10,
+  abs(l_quantity - 25) AS off, l_orderkey % 7 AS mod7, NOT l_quantity > 10 AS small FROM lineitem""",
+    "c29_vectors": """
+WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), h AS (SELECT label, arg_min(v, vec_id) AS h FROM v GROUP BY label)
+SELECT vec_id, round(list_dot_product(v, h) / sqrt(list_dot_product(v, v) * list_dot_product(h, h)), 4) AS cosine, CAST(len(v) AS BIGINT) AS dims FROM v JOIN h USING (label)""",
+    "c30_json": """
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.k') AS k_text,
+  '{"event_id":' || event_id || ',"k":' || json_extract_string(props, '$.k') || '}' AS json FROM events""",
+    "c31_urls": r"""
+SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS protocol, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path,
+  CASE WHEN contains(url, '?') THEN regexp_extract(url, '\?([^#]*)', 1) END AS query FROM pages""",
+    "c32_recursion": "WITH RECURSIVE t(n, a, b, f) AS (SELECT 1, 0::BIGINT, 1::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, b, a + b, f * (n + 1) FROM t WHERE n < 15) SELECT n, a AS fib, f AS factorial FROM t",
+    "c33_tumbling": _TUMBLING,
+    "c34_sliding": "SELECT start, count(*) AS n FROM (SELECT time_bucket(INTERVAL '1 hour', ts) - k * INTERVAL '1 hour' AS start FROM events, range(2) r(k)) GROUP BY start",
+    "c35_session": f"SELECT user_id, start, n FROM ({_SESSIONS})",
+    "c36_tumbling": f"SELECT * FROM ({_TUMBLING}) WHERE start + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'",
+    "c37_session": f"SELECT user_id, start, n FROM ({_SESSIONS}) WHERE last + INTERVAL '30 minutes' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'",
+    "c38_dedup": "SELECT DISTINCT event_id, user_id FROM events",
+    "c39_stream_join": "SELECT c.event_id AS click_id, b.event_id AS buy_id FROM events c JOIN events b ON b.user_id = c.user_id AND b.ts >= c.ts AND b.ts <= c.ts + INTERVAL '1 hour' WHERE c.event_type = 'click' AND b.event_type = 'purchase'",
+    "c40_state": "SELECT user_id, count(*) AS n, round(max(value), 4) AS top FROM events GROUP BY user_id",
+    "c42_pandas_udf": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT)) * (100 + CAST(round(l_tax * 100) AS BIGINT)) / 1e6 AS charge FROM lineitem",
+    "c43_grouped_map": "SELECT o_orderkey, round(round(o_totalprice * 100) / sum(round(o_totalprice * 100)) OVER (PARTITION BY o_custkey), 6) AS share FROM orders",
+    "c43_partition_map": "SELECT o_orderpriority, count(*) AS n, max(o_custkey) AS top FROM orders GROUP BY o_orderpriority",
+    "c44_udtf": "SELECT p_partkey, CAST(pos - 1 AS INTEGER) AS pos, words[pos] AS word FROM (SELECT p_partkey, string_split(p_name, ' ') AS words FROM part), LATERAL (SELECT unnest(range(1, len(words) + 1)) AS pos)",
+    "c50_parquet": "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey IN (1, 2)",
+    "c50_csv": "SELECT * FROM nation",
+    "c50_json": "SELECT * FROM nation",
+    "c50_orc": "SELECT * FROM nation",
 }

@@ -1,9 +1,18 @@
-"""Parquet tables by name."""
+"""Parquet tables by name, and the shared folder for written results."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder name under spark.checkpoint.dir; a local temporary folder where that is unset (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{base.rstrip('/')}/millrace-{label}-{uuid.uuid4().hex}"
