@@ -16,7 +16,8 @@ not listed. First each posting list links its members to its smallest member (a
 verified stars give components. Then, per posting list, only pairs of different
 components are listed, counted against l, bounded by size and verified; a list whose
 members are in one component gives none. While such pairs would be many, more stars are
-drawn first, between the components of a list. No candidate is dropped.
+drawn first, between the components of a list. No candidate is dropped. A pair is met
+only at positions that can still give what its two sizes need.
 
 Plan: exact copies collapse to one representative before postings. Postings of a
 shingle that occurs once go in a partial count before anything is joined. Texts move
@@ -47,6 +48,8 @@ from .common import Scratch, bounded_batches, byte_texts, slices
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 #: Rows of ids that may be broadcast (8 bytes each); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
+#: Stars drawn at most before the remaining pairs are listed.
+TURNS = 3
 
 
 @dataclass(frozen=True)
@@ -57,7 +60,7 @@ class Jaccard:
     num: int = 80
     den: int = 100
     #: Counters for the order of shingles.
-    buckets: int = 1 << 20
+    buckets: int = 1 << 22
     #: Largest l, as a part of a document's shingles.
     most_extra: float = 0.1
     #: Cost of verifying a candidate, in postings.
@@ -123,12 +126,15 @@ def prefixes(docs: DataFrame, doc: str, text: str, j: Jaccard, table: np.ndarray
     sent = docs.sparkSession.sparkContext.broadcast(excess.astype(np.float32))
     top = np.uint64(j.buckets)
 
-    def choose(s: np.ndarray, f: np.ndarray, base: int) -> int:
-        """The l with the least postings to read plus candidates to verify."""
-        most = max(1, min(int(j.most_extra * len(s)), len(s) - base))
+    def choose(f: np.ndarray, base: int) -> int:
+        """The l with the least postings to read plus candidates to verify, by the frequencies in order."""
+        n = len(f)
+        most = max(1, min(int(j.most_extra * n), n - base))
         steps = sorted({1, 2, 4, 8, 16, 32, 64, 128, most} & set(range(1, most + 1)))
-        read = np.cumsum(1.0 + f)
-        cost = [read[base + x - 1] + j.verify_cost * (read[base + x - 1] - base - x) / x for x in steps]
+        # What a partner of the same size meets: the first n - needed(n, n) + l.
+        near = n - -(-2 * n * j.num // (j.num + j.den))
+        met = np.cumsum(f)
+        cost = [base + x + met[near + x - 1] * (1 + j.verify_cost / x) for x in steps]
         return steps[int(np.argmin(cost))]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +155,7 @@ def prefixes(docs: DataFrame, doc: str, text: str, j: Jaccard, table: np.ndarray
                     f = excess[(s % top).astype(np.int64)]
                     order = np.lexsort((s, f))
                     base = len(s) - j.least(len(s))
-                    level.append(choose(s, f[order], base))
+                    level.append(choose(f[order], base))
                     prefix.append(s[order[: base + level[-1]]].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), pa.array(key1, pa.int64()), pa.array(key2, pa.int64()), pa.array(size, pa.int32()), pa.array(level, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))],
@@ -164,6 +170,16 @@ def overlaps(a: Column, b: Column, both: Column, j: Jaccard) -> Column:
     return both.cast("long") * (j.num + j.den) >= (a.cast("long") + b) * j.num
 
 
+def in_prefix(n: Column, pos: Column, least: Column, l: Column) -> Column:
+    """Whether a position of a set of n is in its l-prefix for a partner with which it must share least."""
+    return pos < n - least + l
+
+
+def needed(a: Column, b: Column, j: Jaccard) -> Column:
+    """Shingles that sets of sizes a and b share at least if they are linked."""
+    return F.ceil((a.cast("long") + b) * j.num / (j.num + j.den))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, doc: str, text: str, j: Jaccard) -> DataFrame:
     """The pairs (a, b) of document ids whose whole shingle sets are similar enough."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -188,25 +204,33 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Large stars link a node's larger neighbours to its smallest one, small stars its
     smaller ones; the rounds are logarithmic in the size of a component. Every step is a
-    distributed group-by with a partial minimum.
+    distributed group-by with a partial minimum. It ends when no node has two parents or
+    is parent and child.
     """
     now = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
     while True:
+        sides = now.select(F.col("u").alias("k"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(now.select("v", F.lit(0), F.lit(1)))
+        state = sides.groupBy("k").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+        if state.where("child > 1 OR (child = 1 AND parent = 1)").isEmpty():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
         # Large star: each neighbour larger than u goes to the smallest of u and its neighbours.
-        sides = now.union(now.select("v", "u"))
-        least = sides.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = sides.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        both = now.union(now.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: u and its smaller neighbours go to the smallest.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         new = scratch.write(small, "edges")
-        state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 31))).first()
         scratch.drop(now)
         now = new
-        if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-        before = state
+
+
+def merged(edges: DataFrame) -> DataFrame:
+    """(node, comp): one step towards components, for the next star: the least node within two links."""
+    sides = edges.union(edges.select("b", "a")).toDF("u", "v")
+    least = sides.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    up = least.select(F.col("u").alias("w"), F.col("m").alias("mm"))
+    return least.join(up, F.col("m") == F.col("w")).select(F.col("u").alias("node"), F.least("m", "mm").alias("comp"))
 
 
 def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", j: Jaccard = Jaccard()) -> DataFrame:
@@ -220,50 +244,52 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     first = each.join(rep.select(F.col("rep").alias("doc"), "k1", "k2"), ["doc", "k1", "k2"], "left_semi").dropDuplicates(["doc", "k1", "k2"])
     posts = first.select("doc", "n", "l", F.posexplode("prefix").alias("pos", "token"))
     shared = posts.groupBy("token").agg(F.count("*").alias("f")).where("f > 1").select("token")
-    posts = posts.join(shared, "token").withColumn("lev", F.greatest(F.lit(1), F.col("pos") + 1 - (F.col("n") - F.ceil(F.col("n").cast("long") * j.num / j.den)))).select("token", "doc", "n", "l", F.col("lev").cast("int").alias("lev"))
+    posts = posts.join(shared, "token").select("token", "doc", "n", "l", "pos")
     posts = scratch.write(posts, "postings")
 
-    edges, comp, tried = None, None, None
+    edges, tried = None, None
     at = posts.withColumn("comp", F.col("doc"))
-    for turn in range(8):
+    for turn in range(TURNS + 1):
         if turn:
             # Lists with more than one component, and the pairs between components in them.
-            per = at.groupBy("token", "comp").agg(F.count("*").alias("m"), F.min("doc").alias("head"))
-            mixed = per.groupBy("token").agg(F.count("*").alias("c"), F.sum("m").alias("f"), F.sum(F.col("m") * F.col("m")).alias("ff")).where("c > 1").select("token", "f", "ff")
+            # near: rows that a partner of the same size would meet, for an estimate of the pairs.
+            near = in_prefix(F.col("n"), F.col("pos"), needed(F.col("n"), F.col("n"), j), F.col("l"))
+            per = at.groupBy("token", "comp").agg(F.count("*").alias("m"), F.count_if(near).alias("k"))
+            mixed = per.groupBy("token").agg(F.count("*").alias("c"), F.sum("m").alias("f"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk")).where("c > 1")
+            mixed = scratch.write(mixed, "lists")
             at = scratch.write(at.join(mixed.select("token"), "token", "left_semi"), "mixed")
-            cross = mixed.agg(F.sum((F.col("f") * F.col("f") - F.col("ff")) / 2).alias("x"), F.sum("f").alias("f")).first()
-            if not cross["x"] or cross["x"] <= 8 * cross["f"] or turn == 7:
+            cross = mixed.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("x"), F.sum("f").alias("f")).first()
+            if not cross["f"] or cross["x"] <= 4 * cross["f"] or turn == TURNS:
                 break
-        # A star for each list: members to one pivot of another component, which differs from turn to turn.
-        key = F.xxhash64(F.lit(turn), "doc") if turn else F.col("doc")
-        pivot = at.groupBy("token").agg(F.min(F.struct(key.alias("key"), "doc", "n", "comp")).alias("p"))
-        star = at.join(pivot, "token").where("comp <> p.comp").select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b"), "doc", F.col("n"), F.col("p.n").alias("pn"))
-        star = star.where(F.least("n", "pn").cast("long") * j.den >= F.greatest("n", "pn").cast("long") * j.num).groupBy("doc", "a", "b").agg(F.count("*").alias("hits"))
+        # A star for each list: its members and one pivot of another component. At first the pivot is
+        # the member with the fewest rarer shingles (an original rather than a changed copy), then any.
+        key = F.xxhash64(F.lit(turn), "doc") if turn else F.col("pos") / F.col("n")
+        pivot = at.groupBy("token").agg(F.min(F.struct(key.alias("key"), "doc", "n", "l", "pos", "comp")).alias("p"))
+        least, l = needed(F.col("n"), F.col("p.n"), j), F.least("l", "p.l")
+        star = at.join(pivot, "token").where((F.col("comp") != F.col("p.comp")) & in_prefix(F.col("n"), F.col("pos"), least, l) & in_prefix(F.col("p.n"), F.col("p.pos"), least, l))
+        star = star.groupBy("doc", F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b")).agg(F.count("*").alias("hits"))
         best = star.groupBy("doc").agg(F.max(F.struct("hits", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
         pairs = best if tried is None else best.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.write(pairs, "stars")
         found = scratch.write(verified(pairs, docs, doc, text, j), "links")
         tried = pairs if tried is None else tried.union(pairs)
         edges = found if edges is None else edges.union(found)
-        comp = components(edges, scratch)
+        comp = scratch.write(merged(edges), "merged")
         at = at.drop("comp").join(comp, F.col("doc") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "doc")).drop("node")
 
     # The rest, whole: pairs of different components that share enough of their prefixes.
-    if cross["x"]:
-        one = at.select("token", *[F.col(c).alias(f"{c}1") for c in ("comp", "doc", "n", "l", "lev")])
-        two = at.select("token", *[F.col(c).alias(f"{c}2") for c in ("comp", "doc", "n", "l", "lev")])
+    if cross["f"]:
+        one = at.select("token", *[F.col(c).alias(f"{c}1") for c in ("comp", "doc", "n", "l", "pos")])
+        two = at.select("token", *[F.col(c).alias(f"{c}2") for c in ("comp", "doc", "n", "l", "pos")])
         lists = at.select("token", "comp").distinct()
         sides = lists.withColumnRenamed("comp", "comp1").join(lists.withColumnRenamed("comp", "comp2"), "token").where("comp1 < comp2")
-        met = sides.join(one, ["token", "comp1"]).join(two, ["token", "comp2"])
-        met = met.where((F.greatest("lev1", "lev2") <= F.least("l1", "l2")) & (F.least("n1", "n2").cast("long") * j.den >= F.greatest("n1", "n2").cast("long") * j.num))
-        met = met.groupBy("doc1", "doc2").agg(F.count("*").alias("hits"), *[F.first(c).alias(c) for c in ("n1", "n2", "l1", "l2")])
-        l, n, m = F.least("l1", "l2"), F.least("n1", "n2").cast("long"), F.greatest("n1", "n2").cast("long")
-        # Beyond its l-prefix a set has ceil(t n) - l shingles; with the hits they bound what is shared.
-        bound = F.col("hits") + F.ceil(m * j.num / j.den) - l
-        met = met.where((F.col("hits") >= l) & overlaps(n, m, bound, j)).select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b"))
+        least, l = needed(F.col("n1"), F.col("n2"), j), F.least("l1", "l2")
+        met = sides.join(one, ["token", "comp1"]).join(two, ["token", "comp2"]).where(in_prefix(F.col("n1"), F.col("pos1"), least, l) & in_prefix(F.col("n2"), F.col("pos2"), least, l))
+        met = met.groupBy("doc1", "doc2").agg(F.count("*").alias("hits"), *[F.first(c).alias(c) for c in ("l1", "l2")])
+        met = met.where(F.col("hits") >= F.least("l1", "l2")).select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b"))
         pairs = scratch.write(met.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = scratch.write(verified(pairs, docs, doc, text, j), "links")
-        comp = components(edges.union(found), scratch)
+        edges = edges.union(scratch.write(verified(pairs, docs, doc, text, j), "links"))
 
+    comp = components(edges, scratch)
     out = each.select("doc", "n", "k1", "k2").join(rep.select("k1", "k2", "rep"), ["k1", "k2"], "left").join(comp, F.col("rep") == F.col("node"), "left")
     return out.select(F.col("doc").alias(doc), F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "rep", "doc").alias("component_id"))
