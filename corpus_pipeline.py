@@ -33,10 +33,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component; those without words stay."""
-    found = jaccard_components(docs.select("doc_id", "text"))
-    keep = found.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(COLUMNS)
+    """Keeps the document with the smallest id of each component, once; those without words or id stay."""
+    found = Scratch(spark, "near").write(jaccard_components(docs.select("doc_id", "text")), "components")
+    keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"))
+    kept = docs.join(keep.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(COLUMNS)
+    if not keep.where("n > 1").isEmpty():  # rows of one id are one document
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.union(docs.where("doc_id is null").select(COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
