@@ -1,0 +1,318 @@
+"""op3 to op8 against brute-force versions, and the defined results of odd rows."""
+
+import hashlib
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import zstandard
+from pyspark.sql import functions as F
+
+from millrace.llm import queries
+from millrace.llm.decontam import decontaminate, find_matches, suffix_array
+from millrace.llm.line_dedup import drop_common_lines
+from millrace.llm.lm_pst import Tree, fold_of, score_texts, tokens
+from millrace.llm.pii import KINDS, Field, base_spans, decode, find_personal_data, luhn, marginals
+from millrace.llm.quality import Bands, compression_bands
+from millrace.llm.secrets import find_secrets, joined
+
+ODD = [
+    (1, None, "src0"),
+    (2, "", None),
+    (3, " \t\n\x0b ", "src0"),
+    (4, "word " * 30_000, "src1"),  # very long
+    (5, "x" * 60_000, "src1"),  # one very long word
+    (6, "Émile 中文 😀 token=abc123def password: hunter22 +1 (239) 555-1768\nsame\nsame", "src1"),
+    (6, "Émile 中文 😀 token=abc123def password: hunter22 +1 (239) 555-1768\nsame\nsame", "src1"),  # repeated row
+    (None, "no id here", "src2"),
+]
+SCHEMA = "doc_id long, text string, source string"
+
+
+def odd(spark):
+    """Odd rows with extra columns that bear the names of results and helpers."""
+    names = ("kept", "ratio", "n_lines", "base", "all", "spans", "items", "contaminated", "pos", "key", "h1", "salt", "d", "t", "size", "target", "block", "w", "n", "c", "rule", "host")
+    return spark.createDataFrame(ODD, SCHEMA).withColumns({n: F.lit("extra") for n in names})
+
+
+def texts(spark, sf_dir):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+# op3
+
+
+def secret_spans(text):
+    patterns = (
+        ("assign", r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+        ("access", r"AKIA[A-Z0-9]+", 0, 20),
+        ("hex", r"[0-9a-f]+", 0, 24),
+    )
+    return sorted((m.start(), k, m.end(), name) for k, (name, p, g, least) in enumerate(patterns) for m in re.finditer(p, text) if len(m[g]) >= least)
+
+
+def test_secrets_base_equals_brute_force(spark, sf_dir):
+    rows = by_id(queries.op3_entropy_secrets(spark, sf_dir))
+    for doc, text in texts(spark, sf_dir).items():
+        want = ",".join(f"{name}:{a}:{b}" for a, _, b, name in secret_spans(text))
+        assert rows[doc]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+        assert set(filter(None, want.split(","))) <= set(rows[doc]["spans"].split(","))
+
+
+def entropy_hot(s, window, limit):
+    """First and last window over the limit, counted anew for each window."""
+    h = lambda x: -sum(n / window * math.log2(n / window) for n in Counter(x).values())
+    hot = [i for i in range(len(s) - window + 1) if h(s[i : i + window]) >= limit - 1e-9]
+    return (hot[0], hot[-1] + window) if hot else None
+
+
+def test_secret_entropy_windows(spark):
+    blob = "Zq9xT2mB7vK4pL8wR3nY6cF1"
+    hexes = "A1B2C3D4E5F60718293A4B5C6D7E8F90"
+    cases = {
+        1: f"see {blob} here",
+        2: f"key\n{hexes}.",
+        3: "example" + blob,  # allow list
+        4: "Donaudampfschifffahrtsgesellschaft and 12345678901234567890123",
+        5: ("z" * 33 + "1") * 2,
+        6: f"token={blob} is found by a pattern",
+        7: f"😀é {blob}" + "z" * 32,
+    }
+    docs = spark.createDataFrame(list(cases.items()), "doc_id long, text string")
+    found = {r["doc_id"]: r["s"] for r in find_secrets(docs).select("doc_id", joined(F.col("all")).alias("s")).collect()}
+    want = {k: "" for k in cases}
+    for k, (run, limit) in {1: (blob, 3.7), 2: (hexes, 3.0), 7: (blob + "z" * 32, 3.7)}.items():
+        a, b = entropy_hot(run, 20, limit)
+        at = cases[k].index(run)
+        want[k] = f"entropy:{at + a}:{at + b}"
+    want[6] = f"assign:0:{len('token=' + blob)}"
+    assert found == want
+
+
+# op4
+
+
+def test_personal_data_base_equals_brute_force(spark, sf_dir):
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    rows = by_id(queries.op4_semi_markov_pii(spark, sf_dir))
+    extra = ["a@b.com@c.org", "x@@y.de a.b+c@d-e.co.uk.", "1.2.3.4.5 256.1.1.1 01.002.3.255", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (239) 555-1768 +12 3 +1234567890123456"]
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    for doc, text in [*texts(spark, sf_dir).items(), *enumerate(extra, -9)]:
+        spans = [(m.start(), 0, m.end()) for m in email.finditer(text)]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+        spans += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(digits(m[0])) <= 15]
+        assert base_spans(text) == sorted(spans)
+        if doc >= 0:
+            want = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+            assert rows[doc]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def segmentations(n, most, types):
+    if n == 0:
+        yield []
+        return
+    for length in range(1, min(most, n) + 1):
+        for rest in segmentations(n - length, most, types):
+            for y in range(types):
+                yield [*rest, (n - length, y, n - 1)]
+
+
+def test_semi_markov_sums_and_best_equal_enumeration():
+    rng = np.random.default_rng(3)
+    s, moves = rng.normal(size=(4, 5, 5)), rng.normal(size=(5, 5))
+    s[:, 1:, 4] = -np.inf
+    total, best, expect = 0.0, (-np.inf, None), np.zeros_like(s)
+    for seg in segmentations(4, 5, 5):
+        score, before = 0.0, 4
+        for a, y, b in seg:
+            score, before = score + s[b, b - a, y] + moves[before, y], y
+        total += math.exp(score)
+        best = max(best, (score, [x for x in seg if x[1] != 4]), key=lambda x: x[0])
+        for a, y, b in seg:
+            expect[b, b - a, y] += math.exp(score)
+    p, _ = marginals(s, moves)
+    assert np.allclose(p, expect / total)
+    assert decode(s, moves) == best[1]
+
+
+def test_personal_data_finds_unlisted_forms_and_leaves_numbers(spark):
+    probes = [(-1, "please call (239) 555-1768 soon"), (-2, "in 2019 we sold 1,250 of 3.5 units, version 2.0"), (-3, "plain words only"), (-4, "my card 4117.6401.0399.6265 is here")]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(probes, "doc_id long, text string"))
+    found = by_id(find_personal_data(docs, f=Field()))
+    assert found[-1]["spans"] == "phone:12:26" and found[-1]["base"] == ""
+    assert found[-4]["spans"] == "card:8:27" and found[-4]["n_card"] == 0
+    assert found[-2]["spans"] == "" and found[-3]["spans"] == ""
+
+
+# op5
+
+
+def brute_quality(text, bands=Bands()):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen, dup, counts = set(), 0, Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    covered = {p for i in range(len(words) - 2) if counts[tuple(words[i : i + 3])] > 1 for p in (i, i + 1, i + 2)}
+    failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+    raw = text.encode()
+    ratio = lambda b: len(b) / len(zstandard.compress(b, 3))
+    chunks = [raw[i : i + 4096] for i in range(0, len(raw), 4096)] if len(raw) > 4096 else []
+    chunks = [c for c in chunks if len(c) >= 1024]
+    kept = not failed and bands.holds(len(raw), ratio(raw)) and sum(not bands.holds(len(c), ratio(c)) for c in chunks) <= 0.5 * len(chunks)
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered), failed, kept)
+
+
+def test_quality_equals_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(odd(spark).where("doc_id <> 6").select("doc_id", "text").withColumn("doc_id", -F.col("doc_id")))
+    wanted = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    found = by_id(compression_bands(docs))
+    for doc, text in wanted.items():
+        r = found[doc]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"]) == brute_quality(text)
+
+
+def test_compression_rejects_both_ends():
+    import base64
+    import random
+
+    rng, bands = random.Random(5), Bands()
+    noise = base64.b64encode(rng.randbytes(9000)).decode()
+    noise = " ".join(noise[i : i + 60] for i in range(0, len(noise), 60))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    prose = " ".join("".join(rng.choices(letters[:12], k=rng.randint(2, 8))) for _ in range(3000))
+    assert not brute_quality(noise)[5] and brute_quality(prose)[6]
+    assert not brute_quality("\n".join(f"item {k} costs nothing at all today in the shop by the sea" for k in range(900)))[6]
+    assert bands.holds(len(noise), 1.31) and not bands.holds(len(noise), 1.0)
+
+
+# op6
+
+
+def brute_lines(docs, least=10):
+    strip = " \t\n\x0b\f\r"
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = lambda line: line.strip(strip).translate(fold)
+    counts = Counter(k for t in docs.values() for k in {key(x) for x in t.split("\n")} if k)
+    out = {}
+    for doc, t in docs.items():
+        lines = t.split("\n")
+        keep = [x for x in lines if counts[key(x)] < least]
+        out[doc] = (len(lines), len(lines) - len(keep), hashlib.sha256("\n".join(keep).encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("least", [2, 10])
+def test_line_dedup_equals_brute_force(spark, sf_dir, least):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(-k, " Common LINE\t\n\nown %d\nÉ\ncommon line" % k) for k in range(1, 13)] + [(-20, None), (-21, "")], "doc_id long, text string")
+    both = docs.union(more)
+    found = drop_common_lines(both, min_docs=least).select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("s"))
+    assert {r[0]: tuple(r)[1:] for r in found.collect()} == brute_lines({r["doc_id"]: r["text"] or "" for r in both.collect()}, least)
+
+
+# op7
+
+
+def test_scores_equal_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, "unseenword")], "doc_id long, text string"))
+    wanted = {r["doc_id"]: tokens((r["text"] or "").encode()) for r in docs.collect()}
+    train = Counter(w for doc, ws in wanted.items() if fold_of(doc) != 2 for w in ws)
+    n, v = sum(train.values()), len(train)
+    rows = by_id(score_texts(docs, t=Tree(block_chars=100_000)))  # several blocks
+    for doc, ws in wanted.items():
+        r = rows[doc]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (fold_of(doc) == 2, len(ws), sum(train[w] > 0 for w in ws), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((train[w] + 1) / (n + v + 1)) for w in ws))
+    held = [r for r in rows.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)  # held-out likelihood
+
+
+def test_suffix_tree_is_a_distribution_and_uses_contexts(spark):
+    import random
+
+    rng = random.Random(1)
+    follow = {"a": "b", "b": "c", "c": "a"}
+    rows = []
+    for k in range(120):
+        words, at = [], "a"
+        for _ in range(60):
+            words.append(at)
+            at = follow[at] if rng.random() < 0.9 else rng.choice("abc")
+        rows.append((k, " ".join(words)))
+    # Each of the three words, the end and one unknown word after "a a b": their probabilities sum to 1.
+    probe = [(1000 + k, "a a b" + w) for k, w in enumerate(("", " a", " b", " c", " zzz"))]
+    found = by_id(score_texts(spark.createDataFrame(rows + probe, "doc_id long, text string"), t=Tree(p_min=0.01)))
+    held = [r for k, r in found.items() if r["held_out"] and k < 1000]
+    assert sum(r["score"] for r in held) > 0.8 * sum(r["base_score"] for r in held)
+
+
+# op8
+
+
+def brute_matches(docs, items, window=10):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    windows = {}
+    for name, t in items:
+        w = split(t or "")
+        n = min(window, len(w))
+        for i in range(len(w) - n + 1 if w else 0):
+            windows.setdefault(tuple(w[i : i + n]), set()).add(str(name))
+    out = {}
+    for doc, t in docs.items():
+        w, hit, names = split(t), set(), set()
+        for n in {len(k) for k in windows}:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in windows:
+                    hit.update(range(i, i + n))
+                    names |= windows[tuple(w[i : i + n])]
+        out[doc] = (len(w), len(hit), sorted(names), bool(hit))
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 22, 600])
+def test_matches_equal_brute_force(spark, sf_dir, block_bytes):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    more = [(-1, None), (-2, ""), (-3, "One two THREE, four! one two"), (-4, "one-two one two three"), (-5, "é中 x"), (-6, "three four five one two three four")]
+    both = docs.union(spark.createDataFrame(more, "doc_id long, text string"))
+    tests = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    tests = tests.union(spark.createDataFrame([(900, "one two three"), (900, "one two three"), (901, None), (902, "..."), (903, "É"), (904, "é中"), (None, "three four five")], "item_id long, text string"))
+    items = [("" if r[0] is None else r[0], r[1]) for r in tests.collect()]
+    found = find_matches(both, tests, block_bytes=block_bytes)
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["items"]), r["contaminated"]) for r in found.collect()} == brute_matches({r["doc_id"]: r["text"] or "" for r in both.collect()}, items)
+
+
+def test_longest_match_and_removal(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, "x y " + " ".join(f"w{k}" for k in range(4, 25)) + " z"), (2, "clean words"), (3, " ".join(f"w{k}" for k in range(9)))], "doc_id long, text string")
+    tests = spark.createDataFrame([(7, item)], "item_id long, text string")
+    r = by_id(find_matches(docs, tests))[1]
+    assert (r["longest_match"], r["longest_item"], r["longest_at"], r["n_hit"]) == (21, "7", 2, 21)
+    assert sorted(by_id(decontaminate(docs, tests))) == [2, 3]
+
+
+def test_suffix_array_sorts():
+    ids = np.random.default_rng(1).integers(0, 3, 200).astype(np.int32)
+    order = suffix_array(ids, 200)
+    tails = [tuple(ids[i:]) for i in order]
+    assert tails == sorted(tails)
+
+
+# Odd rows, for all
+
+
+@pytest.mark.parametrize("operator", [compression_bands, drop_common_lines, find_secrets, find_personal_data, lambda d: find_matches(d, d.select(F.col("doc_id").alias("item_id"), "text")), score_texts])
+def test_odd_rows_and_empty_tables(spark, operator):
+    rows = operator(odd(spark)).collect()
+    assert len(rows) == len(ODD)
+    twins = [r.asDict() for r in rows if r["doc_id"] == 6]
+    assert len(twins) == 2 and twins[0] == twins[1]
+    assert operator(odd(spark).limit(0)).collect() == []
