@@ -3,9 +3,9 @@
 Every Arrow batch of documents is a shard (its bytes are bounded). The shard's words
 become ids of the test vocabulary, its suffixes are sorted by prefix doubling, and all
 test suffixes are binary-searched in it at once: their interval is narrowed word by
-word, which gives the longest verbatim match and all its locations. Only suffixes that
+word to its window, and every location is followed to its longest verbatim match. Only suffixes that
 start a run of test words as long as the shortest window are sorted, since no other one
-can match a window; the sort is as deep as the longest test item.
+can match a window; the sort is as deep as the longest window, and matches go on from there.
 
 Plan: one map over the documents without a shuffle. The test set is sent out in blocks
 of bounded size, whatever its size; a document is held against all blocks.
@@ -69,7 +69,6 @@ class TestSet:
         self.starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
         self.item, self.window = np.array(self.item, np.int64), np.array(self.window, np.int64)
         self.least = int(self.window.min()) if len(self.window) else 0
-        self.deepest = int(sizes.max()) if len(sizes) else 0
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -102,6 +101,21 @@ def _bound(ids: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarray, d
     return lo
 
 
+def _lengths(ids: np.ndarray, at: np.ndarray, tests: np.ndarray, test: int, known: int) -> np.ndarray:
+    """How many words match from each position on; known words do."""
+    size, more, step = np.full(len(at), known), np.arange(len(at)), 0
+    while len(more) and step < 64:
+        word = tests[test + size[more]]
+        more = more[(word > 0) & (ids[np.minimum(at[more] + size[more], len(ids) - 1)] == word)]
+        size[more] += 1
+        step += 1
+    for k in more:  # very long matches, each in one comparison
+        a, b = ids[at[k] :], tests[test:]
+        n = min(len(a), len(b))
+        size[k] = int(np.argmax(np.append((a[:n] != b[:n]) | (b[:n] == 0), True)))
+    return size
+
+
 class Shard:
     """The words of some documents as ids of the test vocabulary, 0 for other words and between documents."""
 
@@ -115,8 +129,11 @@ class Shard:
         self.ids = np.concatenate(parts) if parts else np.zeros(1, np.int32)
         self.first = np.concatenate([[0], np.cumsum(self.n_words + 1)])[:-1]
 
-    def search(self, tests: TestSet) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(item, window, positions in the shard, match lengths) for each test suffix whose window occurs."""
+    def search(self, tests: TestSet) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, window, interval, its positions in the shard, where a longest match starts, match lengths).
+
+        One for each test suffix whose window occurs; equal windows have equal intervals.
+        """
         if not tests.least:
             return
         # Runs of test words that are long enough, packed one after another with a 0 after each.
@@ -131,7 +148,7 @@ class Shard:
         np.add.at(keep, np.minimum(end + 1, len(self.ids)), -1)  # the 0 that ends the run too
         place = np.flatnonzero(np.cumsum(keep[:-1]))
         packed = np.concatenate([self.ids[place], [0]])
-        order = suffix_array(packed, tests.deepest)
+        order = suffix_array(packed, int(tests.window.max()))
         lo = np.searchsorted(packed[order], tests.ids[tests.starts], "left")
         hi = np.searchsorted(packed[order], tests.ids[tests.starts], "right")
         live, depth = np.flatnonzero(lo < hi), 1
@@ -139,12 +156,9 @@ class Shard:
         while len(live):
             for q in np.flatnonzero(tests.window[live] == depth):
                 test, at = int(tests.starts[live[q]]), order[lo[q] : hi[q]]
-                size, more = np.full(len(at), depth), np.arange(len(at))
-                while len(more):  # on to the longest match of each location
-                    word = tests.ids[test + size[more]]
-                    more = more[(word > 0) & (packed[np.minimum(at[more] + size[more], len(packed) - 1)] == word)]
-                    size[more] += 1
-                yield int(tests.item[live[q]]), depth, place[at], size
+                # A match that goes on to the left is counted at its start.
+                starts = at[(at == 0) | (packed[at - 1] != tests.ids[test - 1])] if test and tests.ids[test - 1] else at
+                yield int(tests.item[live[q]]), depth, int(lo[q]), place[at], place[starts], _lengths(packed, starts, tests.ids, test, depth)
             target = tests.ids[tests.starts[live] + depth]
             left = _bound(packed, order, lo, hi, depth, target, False)
             right = _bound(packed, order, left, hi, depth, target, True)
@@ -178,13 +192,17 @@ def find_matches(docs: DataFrame, tests: DataFrame, text: str = "text", item: st
             for sent in blocks:
                 shard = Shard(texts, tests := sent.value)
                 marks = np.zeros(len(shard.ids) + 1, np.int64) if marks is None else marks
-                for k, n, at, size in shard.search(tests):
-                    np.add.at(marks, at, 1)
-                    np.add.at(marks, at + n, -1)
-                    owner = np.searchsorted(shard.first, at, "right") - 1
-                    for d in np.unique(owner):
-                        items[d].add(tests.names[k])
-                    for d, start, length in zip(owner.tolist(), at.tolist(), size.tolist()):
+                marked, listed = set(), set()
+                for k, n, interval, at, starts, size in shard.search(tests):
+                    if (n, interval) not in marked:
+                        marked.add((n, interval))
+                        np.add.at(marks, at, 1)
+                        np.add.at(marks, at + n, -1)
+                    if (n, interval, k) not in listed:
+                        listed.add((n, interval, k))
+                        for d in np.unique(np.searchsorted(shard.first, at, "right") - 1):
+                            items[d].add(tests.names[k])
+                    for d, start, length in zip((np.searchsorted(shard.first, starts, "right") - 1).tolist(), starts.tolist(), size.tolist()):
                         if length > best[d][0]:
                             best[d] = (length, tests.names[k], start - int(shard.first[d]))
             hit = np.concatenate([[0], np.cumsum(np.cumsum(marks) > 0)])
