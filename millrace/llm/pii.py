@@ -283,6 +283,8 @@ def examples(text: str, most_tokens: int) -> Iterator[tuple[str, list[tuple[int,
         inside = [x for x in base if a <= x[0] and x[2] <= b]
         if any(x < b < y or x < a < y for x, _, y in base):
             continue
+        if not inside and ("@" in text[a:b] or len(digits_of(text[a:b])) >= 7):
+            continue  # it may hold an entity that the patterns miss: no example of plain text
         clear = [x for k, x in enumerate(inside) if all(x[2] <= y[0] or y[2] <= x[0] for y in inside[:k])]
         yield text[a:b], [(x - a, k, y - a) for x, k, y in clear]
         pick, new, spans, at = zlib.crc32(text[a:b].encode()), "", [], a
