@@ -42,13 +42,13 @@ class Bands:
     """Limits by length: (bytes below which the row holds, lowest ratio, highest ratio)."""
 
     whole: tuple[tuple[float, float, float], ...] = (
-        (128, 0.45, 2.2),
-        (256, 0.80, 2.6),
-        (512, 0.95, 3.0),
-        (1024, 1.10, 3.3),
-        (4096, 1.20, 3.6),
-        (16384, 1.25, 4.0),
-        (float("inf"), 1.30, 5.0),
+        (128, 0.45, 2.5),
+        (256, 0.80, 3.2),
+        (512, 0.95, 4.0),
+        (1024, 1.10, 4.5),
+        (4096, 1.20, 5.0),
+        (16384, 1.25, 5.5),
+        (float("inf"), 1.30, 6.5),
     )
     chunk_bytes: int = 4096
     #: A last chunk shorter than this is judged with the whole document only.
