@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, byte_texts
+from .common import ready_for_python, byte_texts
 
 #: Lower-cases A-Z and makes a space of every byte of [\x00-\x2F\x3A-\x60\x7B-\x7F].
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -169,7 +169,7 @@ class Shard:
 def find_matches(docs: DataFrame, tests: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
     """docs with the MEASURES: hit words, the items found, the longest verbatim match and its word position."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    ready_for_python(spark)
     names = [m[0] for m in MEASURES]
     carried = [c for c in docs.columns if c not in names]
     docs = docs.select(*[F.col(f"`{c}`") for c in carried])

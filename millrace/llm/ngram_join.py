@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, byte_texts, slices
+from .common import Scratch, ready_for_python, byte_texts, slices
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 #: Rows of ids that may be broadcast (8 bytes each); beyond it the join is shuffled.
@@ -236,7 +236,7 @@ def merged(edges: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", j: Jaccard = Jaccard()) -> DataFrame:
     """One row for each document: its id, n_shingles, and component_id."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    ready_for_python(spark)
     scratch = Scratch(spark, "join")
     each = scratch.write(prefixes(docs, doc, text, j, frequency_table(docs, text, j)), "prefixes")
     # Copies of a set are linked to the copy with the smallest id, which stands for them.
@@ -281,8 +281,10 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     if cross["f"]:
         one = at.select("token", *[F.col(c).alias(f"{c}1") for c in ("comp", "doc", "n", "l", "pos")])
         two = at.select("token", *[F.col(c).alias(f"{c}2") for c in ("comp", "doc", "n", "l", "pos")])
-        lists = at.select("token", "comp").distinct()
-        sides = lists.withColumnRenamed("comp", "comp1").join(lists.withColumnRenamed("comp", "comp2"), "token").where("comp1 < comp2")
+        # Of each list, the pairs of components that can hold a pair of documents: by the best slack and the least size.
+        lists = at.groupBy("token", "comp").agg(F.max(F.col("n") - F.col("pos") + F.col("l")).alias("slack"), F.min("n").alias("n"))
+        left, right = (lists.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("comp", "slack", "n")]) for k in (1, 2))
+        sides = left.join(right, "token").where((F.col("comp1") < F.col("comp2")) & (F.least("slack1", "slack2") > needed(F.col("n1"), F.col("n2"), j))).select("token", "comp1", "comp2")
         least, l = needed(F.col("n1"), F.col("n2"), j), F.least("l1", "l2")
         met = sides.join(one, ["token", "comp1"]).join(two, ["token", "comp2"]).where(in_prefix(F.col("n1"), F.col("pos1"), least, l) & in_prefix(F.col("n2"), F.col("pos2"), least, l))
         met = met.groupBy("doc1", "doc2").agg(F.count("*").alias("hits"), *[F.first(c).alias(c) for c in ("l1", "l2")])

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, slices
+from .common import ready_for_python, slices
 
 #: Kinds in order, with their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -361,7 +361,7 @@ RESULT = "n_email long, n_ip long, n_card long, n_phone long, base string, spans
 
 def find_personal_data(docs: DataFrame, text: str = "text", f: Field = Field()) -> DataFrame:
     """docs with the columns of RESULT; base and spans are kind:start:end, comma-joined."""
-    bounded_batches(docs.sparkSession)
+    ready_for_python(docs.sparkSession)
     names = [x.split()[0] for x in RESULT.split(", ")]
     carried = [c for c in docs.columns if c not in names]
     docs = docs.select(*[F.col(f"`{c}`") for c in carried])

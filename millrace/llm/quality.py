@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, byte_texts, slices
+from .common import ready_for_python, byte_texts, slices
 
 _SYMBOLS = b"#*$%&|<>"
 _SPACES_AND_CONTINUATIONS = b" \t\n\x0b\f\r" + bytes(range(0x80, 0xC0))
@@ -108,7 +108,7 @@ def measure(text: bytes, bands: Bands, compressor: zstandard.ZstdCompressor) ->
 
 def compression_bands(docs: DataFrame, text: str = "text", bands: Bands = Bands()) -> DataFrame:
     """docs with the MEASURES; kept is the verdict."""
-    bounded_batches(docs.sparkSession)
+    ready_for_python(docs.sparkSession)
     names = [x.split()[0] for x in MEASURES.split(", ")]
     carried = [c for c in docs.columns if c not in names]
     schema = T.StructType(docs.select(*[F.col(f"`{c}`") for c in carried]).schema.fields + T.StructType.fromDDL(MEASURES).fields)
