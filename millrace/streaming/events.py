@@ -25,9 +25,9 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
 
 
-def run_now(stream: DataFrame, label: str) -> DataFrame:
-    """All rows that are there now, through the stream, as a batch."""
-    spark, path = stream.sparkSession, shared_folder(stream.sparkSession, label)
+def run_now(stream: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """All rows that are there now, through the stream, as a batch; with the path of an earlier run, goes on from it."""
+    spark, path = stream.sparkSession, path or shared_folder(stream.sparkSession, label)
     query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).outputMode("append").start(f"{path}/rows")
     if not query.awaitTermination(TIMEOUT_S):
         query.stop()
@@ -76,9 +76,15 @@ def c40_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def late_rows(spark: SparkSession, first: DataFrame, second: DataFrame) -> DataFrame:
-    """Windows of a stream of two files, read one after the other: rows of the second behind the watermark are dropped."""
+    """Windows of a stream whose second file comes after a run over the first: its rows behind the watermark are dropped.
+
+    Spark drops by the watermark that the batch before had, so the first run must end, with
+    the empty batch that moves the watermark on, before the second file is there.
+    """
     path = shared_folder(spark, "late")
     for part in (first, second):
         part.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in").withWatermark("ts", LATE)
-    return run_now(stream.groupBy(F.window("ts", "10 minutes")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n"), "late-windows")
+        stream = spark.readStream.schema(first.schema).parquet(f"{path}/in").withWatermark("ts", LATE)
+        windows = stream.groupBy(F.window("ts", "10 minutes")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
+        found = run_now(windows, "late-windows", f"{path}/windows")
+    return found
