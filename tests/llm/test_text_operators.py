@@ -194,6 +194,29 @@ def test_compression_rejects_both_ends():
     assert bands.holds(len(noise), 1.31) and not bands.holds(len(noise), 1.0)
 
 
+@pytest.mark.parametrize("length", [3_200, 4_096, 4_500, 6_000, 9_000, 12_199, 16_000, 20_000, 70_000, 330_000])
+def test_compression_rejects_encodings_and_templates_and_keeps_text(length):
+    import base64
+    import random
+
+    from millrace.llm.quality import measure
+
+    rng, zstd = random.Random(length), zstandard.ZstdCompressor(level=3)
+    judged = lambda text: measure(text[:length], Bands(), zstd)
+    failed, kept = 5, -1
+    for encode in (base64.b64encode, base64.b32encode, base64.b16encode, lambda b: b.hex().encode()):
+        dump = encode(rng.randbytes(length))
+        found = judged(b"\n".join(dump[i : i + 40] for i in range(0, length, 40)))
+        assert not found[failed] and not found[kept]
+    pages = judged("".join(f"row {k} has {k + 1} and {k + 2}\n" for k in range(length)).encode())
+    assert not pages[failed] and not pages[kept]
+    vocabulary = ["".join(rng.choices("etaoinshrdlucmfwypvbgkq", weights=range(23, 0, -1), k=rng.randint(2, 9))) for _ in range(3000)]
+    weights = [1 / k for k in range(1, 3001)]
+    assert judged(" ".join(rng.choices(vocabulary, weights, k=length)).encode())[kept]
+    han = ["".join(chr(0x4E00 + int(3000 * rng.random() ** 3)) for _ in range(6)) for _ in range(length // 18)]
+    assert judged(" ".join(han).encode())[kept]
+
+
 # op6
 
 
