@@ -5,8 +5,9 @@ Python. Positions come from the pieces between matches: a match starts where the
 and matches before it end. Candidates for the entropy are runs of token characters. A
 window slides over a candidate with its character counts held in an array; each step
 changes two counts and the sum of c * log2(c), so the entropy costs the same at any
-window length. Limits depend on the class of the candidate's characters, and candidates
-on the allow list are suppressed.
+window length. Limits depend on the class of the candidate's characters. What a fixed
+pattern or the allow list covers is blanked before, so that the rest of its run is
+scanned; windows over the limit that don't touch are spans of their own.
 
 Defined results: a null text is empty and has no span. Positions are code points, ends
 exclusive. A run of any length is scanned whole. Repeated rows get equal results; extra
@@ -16,7 +17,6 @@ columns are carried, those with the name of a result are replaced.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 from math import log2
 
 from pyspark.sql import Column, DataFrame
@@ -42,8 +42,8 @@ class Entropy:
         (r"^[^0-9]+$", 4.1),
         (r"", 3.7),
     )
-    #: Candidates with a match of one of these are no secrets.
-    allow: tuple[str, ...] = (r"(?i)example", r"(?i)0123456789|abcdefghij", r"^(.{1,4})\1+$", r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+    #: What a match of one of these covers is no secret: a listed word with up to 64 letters and digits on each side, and a UUID.
+    allow: tuple[str, ...] = (r"[0-9a-z]{0,64}(?:example|0123456789|abcdefghij)[0-9a-z]{0,64}", r"(?<![0-9a-z])[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![0-9a-z])")
 
     @property
     def candidate(self) -> str:
@@ -76,8 +76,8 @@ def pattern_spans(text: Column, kind: str, pattern: str, group: int = 0, least:
     return _walk(text, pattern, rows)
 
 
-def hot_part(candidate: Column, limit: Column, e: Entropy) -> Column:
-    """(first, last): from the first to the last window whose entropy reaches the limit, or nulls."""
+def hot_parts(candidate: Column, limit: Column, e: Entropy) -> Column:
+    """(first, last) of each stretch of touching windows whose entropy reaches the limit."""
     codes = F.transform(F.split(candidate, ""), lambda c: F.ascii(c))
     # n * log2(n) for counts of 0 to window + 1.
     table = F.array(*[F.lit(n * log2(n) if n else 0.0) for n in range(e.window + 2)])
@@ -95,19 +95,48 @@ def hot_part(candidate: Column, limit: Column, e: Entropy) -> Column:
         counts = F.when(full, bump(grown, left, -1)).otherwise(grown)
         s = F.when(full, sums + F.get(table, m - 1) - F.get(table, m)).otherwise(sums)
         hot = (i >= e.window - 1) & (F.lit(log2(e.window)) - s / e.window >= limit)
+        first = i - (e.window - 1)
+        new = hot & (state["last"].isNull() | (state["last"] < first))  # a stretch that the open one doesn't touch
+        closed = new & state["last"].isNotNull()
+        done = F.when(closed, F.concat(state["done"], F.array(F.struct(state["first"].alias("first"), state["last"].alias("last"))))).otherwise(state["done"])
         return F.struct(
             counts.alias("counts"),
             s.alias("s"),
-            F.when(hot, F.coalesce(state["first"], i - (e.window - 1))).otherwise(state["first"]).alias("first"),
+            F.when(new, first).otherwise(state["first"]).alias("first"),
             F.when(hot, i + 1).otherwise(state["last"]).alias("last"),
+            done.alias("done"),
         )
 
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-    return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    none = F.lit(None).cast("int")
+    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("s"), none.alias("first"), none.alias("last"), F.array().cast("array<struct<first:int,last:int>>").alias("done"))
 
+    def all_parts(state: Column) -> Column:
+        return F.when(state["last"].isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(F.struct(state["first"].alias("first"), state["last"].alias("last")))))
 
-def entropy_spans(text: Column, base: Column, e: Entropy) -> Column:
-    """Spans of high entropy that overlap no span of base."""
+    return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, step, all_parts)
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """text with spaces in place of what the spans, in order of their starts, cover."""
+
+    def step(state: Column, x: Column) -> Column:
+        at = state["at"]
+        start = F.greatest(at, x["start"])
+        more = F.array(F.substring(text, at + 1, start - at), F.repeat(F.lit(" "), F.greatest(x["end"] - start, F.lit(0))))
+        return F.struct(F.greatest(at, x["end"]).alias("at"), F.concat(state["out"], more).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(spans, zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+
+
+def open_text(text: Column, base: Column, e: Entropy) -> Column:
+    """text without what base or the allow list covers; empty if it has no candidate at all."""
+    allowed = pattern_spans(text, "entropy", f"(?i)(?:{'|'.join(e.allow)})")
+    return F.when(text.rlike(e.candidate), blanked(text, F.array_sort(F.concat(base, allowed)))).otherwise("")
+
+
+def entropy_spans(text: Column, e: Entropy) -> Column:
+    """Spans of high entropy in an open_text."""
     whole = F.regexp_extract_all(text, F.lit(e.candidate), F.lit(0))
 
     def limit(x: Column) -> Column:
@@ -116,15 +145,10 @@ def entropy_spans(text: Column, base: Column, e: Entropy) -> Column:
             out = F.when(x.rlike(pattern), bits) if out is None else out.when(x.rlike(pattern), bits)
         return out
 
-    def listed(x: Column) -> Column:
-        return reduce(lambda a, b: a | b, [x.rlike(p) for p in e.allow], F.lit(False))
-
     def rows(starts: Column) -> Column:
-        open_ = F.filter(F.arrays_zip(starts.alias("a"), whole.alias("w")), lambda x: ~F.exists(base, lambda b: (b["start"] < x["a"] + F.length(x["w"])) & (x["a"] < b["end"])))
-        open_ = F.filter(open_, lambda x: (limit(x["w"]) <= log2(e.window)) & ~listed(x["w"]))
-        found = F.transform(open_, lambda x: F.struct(x["a"].alias("a"), hot_part(x["w"], limit(x["w"]), e).alias("h")))
-        found = F.filter(found, lambda x: x["h"]["first"].isNotNull())
-        return F.transform(found, lambda x: F.struct((x["a"] + x["h"]["first"]).alias("start"), F.lit(KINDS.index("entropy")).alias("rank"), (x["a"] + x["h"]["last"]).alias("end"))).cast(_SPAN)
+        runs = F.filter(F.arrays_zip(starts.alias("a"), whole.alias("w")), lambda x: limit(x["w"]) <= log2(e.window))
+        found = F.flatten(F.transform(runs, lambda x: F.transform(hot_parts(x["w"], limit(x["w"]), e), lambda h: F.struct((x["a"] + h["first"]).alias("start"), (x["a"] + h["last"]).alias("end")))))
+        return F.transform(found, lambda x: F.struct(x["start"], F.lit(KINDS.index("entropy")).alias("rank"), x["end"])).cast(_SPAN)
 
     return _walk(text, e.candidate, rows)
 
@@ -140,4 +164,5 @@ def find_secrets(docs: DataFrame, text: str = "text", e: Entropy = Entropy()) ->
     whole = F.coalesce(F.col(text), F.lit(""))
     base = F.array_sort(F.concat(pattern_spans(whole, "assign", ASSIGN, 2, 6), pattern_spans(whole, "access", ACCESS), pattern_spans(whole, "hex", HEX)))
     found = docs.withColumn("base", base)
-    return found.withColumn("all", F.array_sort(F.concat("base", entropy_spans(whole, F.col("base"), e))))
+    found = found.withColumn("__open", open_text(whole, F.col("base"), e))
+    return found.withColumn("all", F.array_sort(F.concat("base", entropy_spans(F.col("__open"), e)))).drop("__open")
