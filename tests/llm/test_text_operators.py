@@ -119,6 +119,23 @@ def test_secret_beside_a_pattern_or_an_allowed_word_is_found(spark):
         assert len(want) > bool(base) and found[k] == ",".join(want)
 
 
+def test_random_tokens_of_each_class_are_found_and_words_are_not(spark):
+    import random
+    import string
+
+    rng = random.Random(9)
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    classes = {"digits": digits, "lower and digits": lower + digits, "upper and digits": upper + digits, "hex": digits + "ABCDEF", "letters": lower + upper, "all": lower + upper + digits}
+    rows = [(name, "".join(rng.choices(alphabet, k=20))) for name, alphabet in classes.items() for _ in range(60)]
+    rows += [("one case", "".join(rng.choices(lower, k=40))) for _ in range(60)]
+    words = ["Donaudampfschifffahrtsgesellschaft", "anbletitionthtionbletion", "autoSelectFamilyAttempted", "set_target_properties", "lib/internal/debugger/inspect", "=" * 30]
+    docs = spark.createDataFrame(rows + [("words", w) for w in words], "class string, text string")
+    found = [(r["class"], len(r["all"]) > 0) for r in find_secrets(docs).select("class", "all").collect()]
+    part = {name: np.mean([hit for c, hit in found if c == name]) for name in {c for c, _ in found}}
+    assert part.pop("words") == 0 and part.pop("one case") > 0.5
+    assert all(p >= 0.85 for p in part.values()), part
+
+
 # op4
 
 
