@@ -1,16 +1,16 @@
 """Line dedup: drop the lines that many documents share.
 
 Lines are exploded, normalised (outer white space stripped, A-Z lower-cased) and
-hashed to 128 bits; the distinct documents of each hash are counted with a map-side
-partial sum; lines over the threshold go, the rest is put together by position.
+hashed to 128 bits; (hash, id) pairs are made distinct and then counted by hash, both
+with map-side partial steps; lines over the threshold go, the rest is put together by position.
 
 Plan: only hashes, ids and positions are shuffled on the way to the decision. Each
-document sends a key once (array_distinct), so one line in a third of the documents
-is a partial count, not a group. The join back is salted, so a hot line's rows are
+document sends a key once (array_distinct); pairs are dealt by hash and id, so one line
+in a third of the documents is spread over all tasks and then a partial count, not a group. The join back is salted, so a hot line's rows are
 dealt over SALTS tasks. The text itself moves once, in the join by document.
 
 Defined results: a null text counts as one empty line and gives an empty text. Empty
-keys never drop. Each row counts as a document, also where ids repeat or are null.
+keys never drop. Rows of one id count as one document and those with a null id as none, as in the SQL.
 Extra columns are carried; n_lines and n_dropped are replaced where they exist.
 """
 
@@ -32,7 +32,8 @@ def common_lines(docs: DataFrame, doc: str, text: str, min_docs: int, min_chars:
     """(h1, h2) of the line keys that at least min_docs documents have."""
     keys = F.array_distinct(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), line_key))
     each = docs.select(F.col(doc).alias("d"), F.explode(keys).alias("key")).where(F.length("key") >= min_chars)
-    return each.select("d", *hash128(F.col("key"))).groupBy("h1", "h2").agg(F.count("d").alias("n_docs")).where(F.col("n_docs") >= min_docs).select("h1", "h2")
+    once = each.select("d", *hash128(F.col("key"))).distinct()
+    return once.groupBy("h1", "h2").agg(F.count("d").alias("n_docs")).where(F.col("n_docs") >= min_docs).select("h1", "h2")
 
 
 def drop_common_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:

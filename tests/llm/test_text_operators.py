@@ -283,6 +283,14 @@ def test_line_dedup_equals_brute_force(spark, sf_dir, least):
     assert {r[0]: tuple(r)[1:] for r in found.collect()} == brute_lines({r["doc_id"]: r["text"] or "" for r in both.collect()}, least)
 
 
+def test_line_dedup_counts_ids_as_the_sql_does(spark):
+    rows = [(1, "mine\nshared")] * 10 + [(None, "shared")] * 3 + [(k, "shared") for k in range(2, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda least: {(r["doc_id"], r["text"]) for r in drop_common_lines(docs, min_docs=least).collect()}
+    assert kept(5) == set(rows)  # four documents have the line; rows without an id count for none
+    assert kept(4) == {(1, "mine"), (None, ""), *((k, "") for k in range(2, 5))}
+
+
 # op7
 
 
