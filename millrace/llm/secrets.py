@@ -5,7 +5,8 @@ Python. Positions come from the pieces between matches: a match starts where the
 and matches before it end. Candidates for the entropy are runs of token characters. A
 window slides over a candidate with its character counts held in an array; each step
 changes two counts and the sum of c * log2(c), so the entropy costs the same at any
-window length. Limits depend on the class of the candidate's characters. What a fixed
+window length. Arrays that grow do so in parts of bounded size, and long runs are slid over
+in chunks that overlap, so the cost is in proportion to the text. Limits depend on the class of the candidate's characters. What a fixed
 pattern or the allow list covers is blanked before, so that the rest of its run is
 scanned; windows over the limit that don't touch are spans of their own.
 
@@ -28,6 +29,10 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
+#: The signs of candidates in ASCII lie from + to z.
+FIRST_SIGN, SIGNS = ord("+"), ord("z") - ord("+") + 1
+#: Elements of an array that is appended to, and characters that one fold slides over.
+PART, CHUNK = 512, 4096
 
 
 @dataclass(frozen=True)
@@ -55,48 +60,80 @@ class Entropy:
         return r"[A-Za-z0-9+/_=-]{%d,}" % self.window
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once: what a lambda captures is computed anew for each of its elements."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _groups(items: Column) -> Column:
+    """An array in parts of PART, so that appending to an array costs no more than that, however many there are."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / PART).cast("int") - 1, F.lit(0))), lambda g: F.slice(items, g * PART + 1, PART))
+
+
+def _running(values: Column, kind: str, start: Column, add) -> Column:
+    """What is before each value: start, add(start, value), and so on; an array as long as values."""
+    zero = F.struct(start.cast(kind).alias("at"), F.array().cast(f"array<{kind}>").alias("all"))
+    return F.aggregate(values, zero, lambda s, x: F.struct(add(s["at"], x).cast(kind).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+
+
 def _walk(text: Column, pattern: str, to_rows) -> Column:
-    """to_rows(start, index) of each match, in order, flattened."""
-    before = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("array<int>").alias("all"))
+    """to_rows(matches): of each match, in order, a (its start) and w (its text)."""
+    pieces = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    pairs = F.zip_with(pieces, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda b, w: F.struct(b.alias("b"), w.alias("w")))
+    pairs = F.filter(pairs, lambda x: x["w"].isNotNull())  # the last piece is behind the last match
+    total = lambda at, x: at + x["b"] + F.length(x["w"])
 
-    def step(state: Column, i: Column) -> Column:
-        at = state["at"] + F.get(before, i)
-        return F.struct((at + F.get(found, i)).alias("at"), F.concat(F.coalesce(state["all"], F.array().cast("array<int>")), F.array(at)).alias("all"))
+    def starts(groups: Column) -> Column:
+        sums = F.transform(groups, lambda g: F.aggregate(g, F.lit(0), total))
+        firsts = _running(sums, "int", F.lit(0), lambda at, x: at + x)
+        each = lambda g, at: F.zip_with(g, _running(g, "int", at, total), lambda x, a: F.struct((a + x["b"]).alias("a"), x["w"].alias("w")))
+        return F.flatten(F.zip_with(groups, firsts, each))
 
-    starts = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda s: s["all"])
-    return F.when(text.rlike(pattern), to_rows(starts)).otherwise(F.array().cast(_SPAN))
+    found = _let(pairs, lambda p: _let(_groups(p), starts))
+    return F.when(text.rlike(pattern), to_rows(found)).otherwise(F.array().cast(_SPAN))
 
 
 def pattern_spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 1) -> Column:
     """Spans of the matches whose group has this many characters at least."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
-    def rows(starts: Column) -> Column:
-        triples = F.transform(F.arrays_zip(starts.alias("a"), whole.alias("w"), part.alias("p")), lambda x: F.struct(x["a"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (x["a"] + F.length(x["w"])).alias("end"), F.length(x["p"]).alias("n")))
-        return F.transform(F.filter(triples, lambda x: x["n"] >= least), lambda x: F.struct(x["start"], x["rank"], x["end"])).cast(_SPAN)
+    def rows(matches: Column) -> Column:
+        if group:
+            matches = F.filter(matches, lambda x: F.length(F.regexp_extract(x["w"], pattern, group)) >= least)
+        return F.transform(matches, lambda x: F.struct(x["a"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (x["a"] + F.length(x["w"])).alias("end"))).cast(_SPAN)
 
     return _walk(text, pattern, rows)
 
 
+_PARTS = "array<struct<first:int,last:int>>"
+
+
+def touching(parts: Column) -> Column:
+    """(first, last) stretches in order, those that touch made one."""
+    pair = lambda a, b: F.struct(a.cast("int").alias("first"), b.cast("int").alias("last"))
+
+    def step(state: Column, x: Column) -> Column:
+        new = state["open"].isNotNull() & (state["open"]["last"] < x["first"])
+        done = F.when(new, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"])
+        return F.struct(done.alias("done"), F.when(new | state["open"].isNull(), pair(x["first"], x["last"])).otherwise(pair(state["open"]["first"], x["last"])).alias("open"))
+
+    none = F.lit(None).cast("struct<first:int,last:int>")
+    return F.aggregate(parts, F.struct(F.array().cast(_PARTS).alias("done"), none.alias("open")), step, lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+
+
 def hot_parts(candidate: Column, limit: Column, e: Entropy) -> Column:
     """(first, last) of each stretch of touching windows whose entropy reaches the limit."""
-    codes = F.transform(F.split(candidate, ""), lambda c: F.ascii(c))
     # n * log2(n) for counts of 0 to window + 1.
     table = F.array(*[F.lit(n * log2(n) if n else 0.0) for n in range(e.window + 2)])
 
     def bump(counts: Column, code: Column, by: int) -> Column:
-        return F.concat(F.slice(counts, 1, code), F.array(F.get(counts, code) + by), F.slice(counts, code + 2, 128))
+        return F.concat(F.slice(counts, 1, code), F.array(F.get(counts, code) + by), F.slice(counts, code + 2, SIGNS))
 
-    def step(state: Column, i: Column) -> Column:
-        code = F.get(codes, i)
+    def step(state: Column, x: Column) -> Column:
+        i, code, left = state["i"], x["code"], x["left"]
         n = F.get(state["counts"], code)
         grown, sums = bump(state["counts"], code, 1), state["s"] + F.get(table, n + 1) - F.get(table, n)
-        left = F.get(codes, i - e.window)
         m = F.get(grown, left)
-        full = i >= e.window
+        full = left.isNotNull()
         counts = F.when(full, bump(grown, left, -1)).otherwise(grown)
         s = F.when(full, sums + F.get(table, m - 1) - F.get(table, m)).otherwise(sums)
         hot = (i >= e.window - 1) & (F.lit(log2(e.window)) - s / e.window >= limit)
@@ -105,6 +142,7 @@ def hot_parts(candidate: Column, limit: Column, e: Entropy) -> Column:
         closed = new & state["last"].isNotNull()
         done = F.when(closed, F.concat(state["done"], F.array(F.struct(state["first"].alias("first"), state["last"].alias("last"))))).otherwise(state["done"])
         return F.struct(
+            (i + 1).alias("i"),
             counts.alias("counts"),
             s.alias("s"),
             F.when(new, first).otherwise(state["first"]).alias("first"),
@@ -113,36 +151,60 @@ def hot_parts(candidate: Column, limit: Column, e: Entropy) -> Column:
         )
 
     none = F.lit(None).cast("int")
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("s"), none.alias("first"), none.alias("last"), F.array().cast("array<struct<first:int,last:int>>").alias("done"))
+    zero = F.struct(F.lit(0).alias("i"), F.array_repeat(F.lit(0), SIGNS).alias("counts"), F.lit(0.0).alias("s"), none.alias("first"), none.alias("last"), F.array().cast(_PARTS).alias("done"))
 
     def all_parts(state: Column) -> Column:
         return F.when(state["last"].isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(F.struct(state["first"].alias("first"), state["last"].alias("last")))))
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, step, all_parts)
+    def of_chunk(chunk: Column) -> Column:
+        codes = F.transform(F.split(chunk, ""), lambda c: F.ascii(c) - FIRST_SIGN)
+        # The sign that comes in, and the one that goes out then.
+        moves = _let(codes, lambda c: F.zip_with(c, F.slice(F.concat(F.array_repeat(none, e.window), c), 1, F.size(c)), lambda code, left: F.struct(code.alias("code"), left.alias("left"))))
+        return F.aggregate(moves, zero, step, all_parts)
+
+    # Chunks that overlap by a window less one: each window is in one of them.
+    keep = e.window - 1
+    chunks = F.regexp_extract_all(candidate, F.lit(".{1,%d}" % CHUNK), F.lit(0))
+    apart = _let(chunks, lambda c: F.zip_with(c, F.slice(F.concat(F.array(F.lit("")), F.transform(c, lambda x: F.right(x, F.lit(keep)))), 1, F.size(c)), lambda x, tail: F.concat(tail, x)))
+    shifted = F.transform(apart, lambda x, i: F.transform(of_chunk(x), lambda h: F.struct((h["first"] + F.greatest(i * CHUNK - keep, F.lit(0))).alias("first"), (h["last"] + F.greatest(i * CHUNK - keep, F.lit(0))).alias("last"))))
+    return touching(F.flatten(shifted))
 
 
 def blanked(text: Column, spans: Column) -> Column:
     """text with spaces in place of what the spans, in order of their starts, cover."""
 
-    def step(state: Column, x: Column) -> Column:
-        at = state["at"]
-        start = F.greatest(at, x["start"])
-        more = F.array(F.substring(text, at + 1, start - at), F.repeat(F.lit(" "), F.greatest(x["end"] - start, F.lit(0))))
-        return F.struct(F.greatest(at, x["end"]).alias("at"), F.concat(state["out"], more).alias("out"))
+    def whole(groups: Column) -> Column:
+        # Of each group: where it begins (the spans before it may reach into it) and where the next one does.
+        ends = F.transform(groups, lambda g: F.array_max(F.transform(g, lambda x: x["end"])))
+        covered = _running(ends, "int", F.lit(0), lambda at, x: F.greatest(at, x))
+        begins = F.transform(groups, lambda g, i: F.when(i == 0, F.lit(0)).otherwise(F.get(g, F.lit(0))["start"]))
+        frames = F.transform(F.arrays_zip(groups.alias("g"), covered.alias("at"), begins.alias("a"), F.concat(F.slice(begins, 2, F.size(begins)), F.array(F.length(text))).alias("b")), of_group)
+        return F.array_join(frames, "")
+
+    def of_group(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+
+        def step(state: Column, span: Column) -> Column:
+            at = state["at"]
+            start, end = F.least(F.greatest(at, span["start"] - a), b - a), F.least(span["end"] - a, b - a)
+            more = F.array(F.substring(state["t"], at + 1, start - at), F.repeat(F.lit(" "), F.greatest(end - start, F.lit(0))))
+            return F.struct(state["t"].alias("t"), F.greatest(at, end, start).alias("at"), F.concat(state["out"], more).alias("out"))
+
+        into = F.greatest(F.least(x["at"], b) - a, F.lit(0))  # covered by spans of the groups before
+        zero = F.struct(F.substring(text, a + 1, b - a).alias("t"), into.alias("at"), F.array(F.repeat(F.lit(" "), into)).alias("out"))
+        return F.aggregate(x["g"], zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(s["t"], s["at"] + 1, b - a)))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(spans, zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(_let(_groups(spans), whole))
 
 
 def open_text(text: Column, base: Column, e: Entropy) -> Column:
     """text without what base or the allow list covers; empty if it has no candidate at all."""
     allowed = pattern_spans(text, "entropy", f"(?i)(?:{'|'.join(e.allow)})")
-    return F.when(text.rlike(e.candidate), blanked(text, F.array_sort(F.concat(base, allowed)))).otherwise("")
+    return F.when(text.rlike(e.candidate), _let(F.array_sort(F.concat(base, allowed)), lambda spans: blanked(text, spans))).otherwise("")
 
 
 def entropy_spans(text: Column, e: Entropy) -> Column:
     """Spans of high entropy in an open_text."""
-    whole = F.regexp_extract_all(text, F.lit(e.candidate), F.lit(0))
 
     def limit(x: Column) -> Column:
         out = None
@@ -150,8 +212,8 @@ def entropy_spans(text: Column, e: Entropy) -> Column:
             out = F.when(x.rlike(pattern), bits) if out is None else out.when(x.rlike(pattern), bits)
         return out
 
-    def rows(starts: Column) -> Column:
-        runs = F.transform(F.arrays_zip(starts.alias("a"), whole.alias("w")), lambda x: F.struct(x["a"].alias("a"), x["w"].alias("w"), limit(x["w"]).alias("least")))
+    def rows(matches: Column) -> Column:
+        runs = F.transform(matches, lambda x: F.struct(x["a"].alias("a"), x["w"].alias("w"), limit(x["w"]).alias("least")))
         found = F.flatten(F.transform(runs, lambda x: F.transform(hot_parts(x["w"], x["least"], e), lambda h: F.struct((x["a"] + h["first"]).alias("start"), (x["a"] + h["last"]).alias("end")))))
         return F.transform(found, lambda x: F.struct(x["start"], F.lit(KINDS.index("entropy")).alias("rank"), x["end"])).cast(_SPAN)
 

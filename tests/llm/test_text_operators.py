@@ -16,7 +16,7 @@ from millrace.llm.line_dedup import drop_common_lines
 from millrace.llm.lm_pst import Tree, fold_of, score_texts, tokens
 from millrace.llm.pii import KINDS, Field, base_spans, decode, find_personal_data, luhn, marginals
 from millrace.llm.quality import Bands, compression_bands
-from millrace.llm.secrets import find_secrets, joined
+from millrace.llm.secrets import Entropy, find_secrets, joined
 
 ODD = [
     (1, None, "src0"),
@@ -95,6 +95,47 @@ def test_secret_entropy_windows(spark):
     assert found == want
 
 
+def brute_secrets(text, e=Entropy()):
+    """All spans: windows counted anew, over what no pattern and no allowed word covers."""
+    base = secret_spans(text)
+    covered = [(a, b) for a, _, b, _ in base] + [m.span() for m in re.finditer(f"(?i:{'|'.join(e.allow)})", text)]
+    signs = list(text)
+    for a, b in covered:
+        signs[a:b] = " " * (b - a)
+    spans = [(a, k, b, name) for a, k, b, name in base]
+    h = {}
+    for run in re.finditer(e.candidate, "".join(signs)):
+        limit = next(bits for pattern, bits in e.limits if re.search(pattern, run[0]))
+        hot = []
+        for i in range(len(run[0]) - e.window + 1):
+            w = "".join(sorted(run[0][i : i + e.window]))
+            if w not in h:
+                h[w] = -sum(n / e.window * math.log2(n / e.window) for n in Counter(w).values())
+            if h[w] >= limit - 1e-9:
+                if hot and i <= hot[-1][1]:
+                    hot[-1][1] = i + e.window
+                else:
+                    hot.append([i, i + e.window])
+        spans += [(run.start() + a, 3, run.start() + b, "entropy") for a, b in hot]
+    return ",".join(f"{name}:{a}:{b}" for a, _, b, name in sorted(spans))
+
+
+def test_secret_spans_equal_brute_force_on_long_runs_and_many_matches(spark, sf_dir):
+    import base64
+    import random
+
+    rng = random.Random(12)
+    blob = lambda n: base64.b64encode(rng.randbytes(n)).decode()
+    mixed = lambda: rng.choice([blob(18), "token=" + blob(9), "AKIA" + "QX7" * 6, "%040x" % rng.getrandbits(160), "example" + blob(30), "plain words é", "z" * 45 + blob(30) + "z" * 70 + blob(20)])
+    rows = [(-1, blob(45_000)), (-2, " ".join(f"secret: {blob(6)}" for _ in range(10_000))), (-3, "x" * 9000 + blob(60) + "=" * 5000 + blob(60)), (-4, ("".join(rng.choices("ab", k=50)) + blob(24)) * 400)]
+    rows += [(-10 - k, rng.choice(["", " ", "/", "\n"]).join(mixed() for _ in range(rng.choice([2, 5, 40, 1500])))) for k in range(12)]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {r["doc_id"]: (r["text"], r["s"]) for r in find_secrets(docs).select("doc_id", "text", joined(F.col("all")).alias("s")).collect()}
+    assert found[-1][1] and found[-2][1].count("assign") == 10_000 and any("entropy" in s for _, s in found.values())
+    for text, spans in found.values():
+        assert spans == brute_secrets(text)
+
+
 def test_secret_beside_a_pattern_or_an_allowed_word_is_found(spark):
     blob, key = "Zq9xT2mB7vK4pL8wR3nY6cF1", "wJ4lrXUt2FEM7iK5MDENGbPxR9iCYq8sHv3oAz6T"
     low = "z" * 40
