@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder name under spark.checkpoint.dir; a local temporary folder where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new folder name under spark.checkpoint.dir; a temporary folder where that is unset and Spark runs in one process (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/millrace-{label}-{uuid.uuid4().hex}"

@@ -48,3 +48,25 @@ def test_entry_imports_without_llm(tmp_path):
     shutil.copy(repo / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); assert not any(q.startswith('op') for q in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_entry_keeps_the_other_queries_without_a_package():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; assert 'c01_scan' in e.queries() and not any(q.startswith('op') for q in e.queries()) and 'c01_scan' in e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=True, timeout=120)
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from millrace.sources.tables import shared_folder
+
+    there = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
+    assert shared_folder(there("yarn", "hdfs://x/"), "a").startswith("hdfs://x/millrace-a-")
+    assert shared_folder(there("local[4]", None), "a")
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_folder(there(master, None), "a")
