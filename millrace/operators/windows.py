@@ -22,15 +22,18 @@ def c09_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c20_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row number and quarter of each customer's orders; rank and dense rank by priority within a status.
+
+    A status holds a third of all orders, so its ranks come from counts by status and
+    priority, summed in order and joined back.
+    """
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
     by = Window.partitionBy("o_orderstatus").orderBy("o_orderpriority")
+    counts = orders.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+    ranks = counts.select("o_orderstatus", "o_orderpriority", (F.sum("n").over(by) - F.col("n") + 1).cast("int").alias("rnk"), F.row_number().over(by).alias("dense"))
     whole = Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
-    return table(spark, sf_dir, "orders").select(
-        "o_orderkey",
-        F.row_number().over(whole).alias("rn"),
-        F.ntile(4).over(whole).alias("quarter"),
-        F.rank().over(by).alias("rnk"),
-        F.dense_rank().over(by).alias("dense"),
-    )
+    placed = orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", F.row_number().over(whole).alias("rn"), F.ntile(4).over(whole).alias("quarter"))
+    return placed.join(ranks, ["o_orderstatus", "o_orderpriority"]).select("o_orderkey", "rn", "quarter", "rnk", "dense")
 
 
 def c21_analytic(spark: SparkSession, sf_dir: str) -> DataFrame:

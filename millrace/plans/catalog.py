@@ -74,6 +74,7 @@ SELECT event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY
     "c23_top_per_group": "SELECT o_orderpriority, o_orderkey, CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3",
     "c24_union": "SELECT kind, nation, count(*) AS n FROM (SELECT 'customer' AS kind, c_nationkey AS nation FROM customer UNION ALL SELECT 'supplier', s_nationkey FROM supplier) GROUP BY ALL",
     "c25_intersect": "SELECT l_orderkey AS k FROM lineitem INTERSECT SELECT o_orderkey FROM orders",
+    "c25_intersect_all": "SELECT l_linenumber, count(*) AS n FROM (SELECT l_linenumber FROM lineitem INTERSECT ALL SELECT l_linenumber FROM lineitem WHERE l_returnflag = 'A') GROUP BY l_linenumber",
     "c25_except": "SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey FROM lineitem",
     "c25_except_all": "SELECT l_linenumber, count(*) AS n FROM (SELECT l_linenumber FROM lineitem EXCEPT ALL SELECT l_linenumber FROM lineitem WHERE l_returnflag = 'A') GROUP BY l_linenumber",
     "c26_strings": """
@@ -103,6 +104,7 @@ SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS protocol, regexp_extra
     "c38_dedup": "SELECT DISTINCT event_id, user_id FROM events",
     "c39_stream_join": "SELECT c.event_id AS click_id, b.event_id AS buy_id FROM events c JOIN events b ON b.user_id = c.user_id AND b.ts >= c.ts AND b.ts <= c.ts + INTERVAL '1 hour' WHERE c.event_type = 'click' AND b.event_type = 'purchase'",
     "c40_state": "SELECT user_id, count(*) AS n, round(max(value), 4) AS top FROM events GROUP BY user_id",
+    "c41_late_rows": "SELECT start, n FROM (SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, count(*) AS n FROM events GROUP BY ALL) WHERE start + INTERVAL '10 minutes' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'",
     "c42_pandas_udf": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT)) * (100 + CAST(round(l_tax * 100) AS BIGINT)) / 1e6 AS charge FROM lineitem",
     "c43_grouped_map": "SELECT o_orderkey, round(round(o_totalprice * 100) / sum(round(o_totalprice * 100)) OVER (PARTITION BY o_custkey), 6) AS share FROM orders",
     "c43_partition_map": "SELECT o_orderpriority, count(*) AS n, max(o_custkey) AS top FROM orders GROUP BY o_orderpriority",
@@ -111,4 +113,7 @@ SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS protocol, regexp_extra
     "c50_csv": "SELECT * FROM nation",
     "c50_json": "SELECT * FROM nation",
     "c50_orc": "SELECT * FROM nation",
+    "c50_csv_pages": r"""SELECT page_id, url, html, CASE WHEN page_id % 2 = 0 THEN '' WHEN page_id % 3 = 0 THEN '\ "a", ' || chr(13) || chr(10) || ' b' END AS note FROM pages""",
+    "c50_json_events": "SELECT * FROM events",
+    "c50_parquet_lineitem": "SELECT l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_linestatus",
 }

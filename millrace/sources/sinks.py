@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .tables import shared_folder, table
 
@@ -31,3 +32,25 @@ def c50_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def c50_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "nation"), "orc")
+
+
+def c50_csv_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with quotes, commas and line breaks through CSV, and nulls beside empty strings."""
+    pages = table(spark, sf_dir, "pages")
+    odd = pages.select("page_id", "url", "html", F.when(F.col("page_id") % 2 == 0, "").when(F.col("page_id") % 3 == 0, '\\ "a", \r\n b').alias("note"))
+    return round_trip(odd, "csv", header="true", quoteAll="true", escape='"', multiLine="true", lineSep="\n", nullValue="\\N", emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
+
+
+def c50_json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timestamps, doubles and JSON within JSON, each in its own type again."""
+    return round_trip(table(spark, sf_dir, "events"), "json", timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def c50_parquet_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A large table dealt by its partition column before it is written, so that a folder gets few files."""
+    lines = table(spark, sf_dir, "lineitem")
+    path = shared_folder(spark, "lineitem")
+    salt = F.pmod(F.xxhash64("l_orderkey"), F.lit(8))  # a flag may hold half of all rows
+    lines.repartition("l_returnflag", salt).write.partitionBy("l_returnflag").parquet(path)
+    back = spark.read.schema(lines.schema).parquet(path).where("l_returnflag = 'R'")
+    return back.groupBy("l_linestatus").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"))

@@ -16,6 +16,8 @@ from ..sources.tables import shared_folder, table
 
 LATE = "10 minutes"
 TIMEOUT_S = 600
+#: Milliseconds without an event after which a user's state ends.
+IDLE_MS = 2 * 3600 * 1000
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,18 +63,29 @@ def c39_stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c40_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events and their latest time by user, in a state of a few numbers a user."""
+    """Events and largest value by user, in a state of a few numbers that a timer ends.
+
+    A user's state goes when the watermark is IDLE_MS past the last event; a later event
+    begins a new one. Each row tells the state's own beginning, and the last row of each
+    state counts.
+    """
 
     def count(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, top = state.get if state.exists else (0, 0.0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, top, began, last = state.get if state.exists else (0, 0.0, 0, 0)
         for frame in frames:
-            n, top = n + len(frame), max(top, float(frame["value"].max()))
-        state.update((n, top))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "top": [round(top, 4)]})
+            ms = (frame["ts"].astype("int64") // (10**6 if frame["ts"].dtype == "datetime64[ns]" else 10**3)).tolist()
+            n, top, began, last = n + len(frame), max(top, float(frame["value"].max())), began or min(ms), max(last, *ms)
+        state.update((n, top, began, last))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + IDLE_MS)
+        yield pd.DataFrame({"user_id": [key[0]], "began": [began], "n": [n], "top": [top]})
 
-    stream = event_stream(spark, sf_dir).select("user_id", "value").groupBy("user_id").applyInPandasWithState(count, "user_id long, n long, top double", "n long, top double", "append", "NoTimeout")
-    every = run_now(stream, "state")
-    return every.groupBy("user_id").agg(F.max("n").alias("n"), F.max("top").alias("top"))
+    stream = event_stream(spark, sf_dir).select("user_id", "ts", "value").groupBy("user_id")
+    stream = stream.applyInPandasWithState(count, "user_id long, began long, n long, top double", "n long, top double, began long, last long", "append", "EventTimeTimeout")
+    every = run_now(stream, "state").groupBy("user_id", "began").agg(F.max("n").alias("n"), F.max("top").alias("top"))
+    return every.groupBy("user_id").agg(F.sum("n").alias("n"), F.round(F.max("top"), 4).alias("top"))
 
 
 def late_rows(spark: SparkSession, first: DataFrame, second: DataFrame) -> DataFrame:
@@ -88,3 +101,9 @@ def late_rows(spark: SparkSession, first: DataFrame, second: DataFrame) -> DataF
         windows = stream.groupBy(F.window("ts", "10 minutes")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
         found = run_now(windows, "late-windows", f"{path}/windows")
     return found
+
+
+def c41_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events come a second time after a run over them: behind the watermark, they change no window."""
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    return late_rows(spark, events, events).withColumn("start", F.col("start").cast("timestamp_ntz"))
