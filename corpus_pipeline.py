@@ -16,7 +16,7 @@ from millrace.llm.common import Scratch, table
 from millrace.llm.decontam import decontaminate
 from millrace.llm.line_dedup import drop_common_lines
 from millrace.llm.mixing import mix
-from millrace.llm.ngram_join import jaccard_components
+from millrace.llm.ngram_join import BROADCAST_IDS, jaccard_components
 from millrace.llm.quality import compression_bands
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,13 +33,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component, once; those without words or id stay."""
+    """Keeps the document with the smallest id of each component, once; those without words or id stay.
+
+    Rows of one id are one document: of several, the one that is first by text, language,
+    source and n_chars stays.
+    """
     found = Scratch(spark, "near").write(jaccard_components(docs.select("doc_id", "text")), "components")
     keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"))
-    kept = docs.join(keep.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(COLUMNS)
-    if not keep.where("n > 1").isEmpty():  # rows of one id are one document
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null").select(COLUMNS))
+    once, more = (keep.where(n).select("id") for n in ("n = 1", "n > 1"))
+    if keep.count() <= BROADCAST_IDS:  # checked; else both joins are shuffled
+        once, more = F.broadcast(once), F.broadcast(more)
+    own = lambda ids: docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select(COLUMNS)
+    first = own(more).groupBy("doc_id").agg(F.min(F.struct(COLUMNS[1:])).alias("x")).select("doc_id", "x.*")
+    return own(once).union(first).union(docs.where("doc_id is null").select(COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
