@@ -1,24 +1,29 @@
 """LM scoring with a probabilistic suffix tree over words.
 
 Root: every word's count over all training documents, add-one smoothed. Contexts of one
-to depth words are counted over all training documents, level by level: a context is a
-candidate if its probability is p_min or more, so a level has at most 1 / p_min of them,
-and a next symbol is listed from p_min * p_next of all tokens on. These two bound the
-tree whatever the data's size; it is what gets broadcast. A candidate is retained if its
-next-symbol distribution diverges from that of its longest retained suffix (likelihood
-ratio G beyond chance, and a least divergence). A retained context's distribution is
-smoothed with its suffix's; symbols that it doesn't list share its remaining mass as
-its suffix shares it. Scoring takes the longest retained suffix at each word.
+to depth words are counted over all training documents, level by level: a context of
+frequent words is a candidate from a number of occurrences on that is growth times the
+square root of the training tokens, a next symbol is listed from a next_part of that on.
+So the tree gains contexts as the corpus grows, without an end, and yet has no more than
+sqrt(tokens) / growth of them a level, which is what keeps it fit for a broadcast: at
+10^13 tokens a word counts as frequent from 1.3 million occurrences on. A candidate is
+retained if its next-symbol distribution diverges from that of its longest retained suffix
+(likelihood ratio G beyond chance, and a least divergence). A retained context's
+distribution is smoothed with its suffix's; symbols that it doesn't list share its
+remaining mass as its suffix shares it. Scoring takes the longest retained suffix at each
+word.
 
 Plan: the words' exact counts grow with the corpus and are never gathered in one place.
-Documents are dealt to blocks by hash, blocks of bounded text; each block sends a row for
-each distinct word, a window sums the rows of a word, and each block gets the counts of
-its own words back. So what is shuffled is the text, twice, and a row for each word and
-block. Counting a level is a map over the texts with sums per task.
+Documents are dealt to blocks by hash, blocks of bounded text; each block writes a row for
+each distinct word; the rows of a word are summed, with partial sums; and each block gets
+the counts of its own words back, those of frequent words by a broadcast, the others by a
+join that Spark may split. So what is shuffled is the text, twice, and a row for each word
+and block, twice. Counting a level is a map over the texts with sums per task.
 
 Defined results: a null text is empty and has one token, the end. Without training
-documents every count is 0. Rows are scored each by itself, also where ids repeat; a
-null id is hashed as an empty text. Extra columns aren't carried, so they can't clash.
+documents every count is 0. Rows are scored each by itself, also where ids repeat (rows of
+equal id and text share a block); a null id is hashed as an empty text. Extra columns
+aren't carried, so they can't clash.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from math import log, log10, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, ready_for_python, byte_texts, slices
@@ -43,8 +48,12 @@ END = b""
 @dataclass(frozen=True)
 class Tree:
     depth: int = 3
-    p_min: float = 2e-4
-    p_next: float = 5e-3
+    #: Occurrences of a context, by the square root of the training tokens, and at least.
+    growth: float = 0.4
+    least_context: int = 20
+    #: Occurrences of a listed next symbol, by those of a context, and at least.
+    next_part: float = 1 / 40
+    least_next: int = 3
     #: Standard deviations of G above its mean under chance.
     deviations: float = 3.0
     least_divergence: float = 1e-3
@@ -53,7 +62,13 @@ class Tree:
     folds: int = 7
     held_fold: int = 2
     #: Characters of text in a block, about.
-    block_chars: int = 12_000_000
+    block_chars: int = 6_000_000
+
+    def context_count(self, n_all: int) -> float:
+        return max(self.least_context, self.growth * sqrt(n_all))
+
+    def next_count(self, n_all: int) -> float:
+        return max(self.least_next, self.next_part * self.context_count(n_all))
 
 
 @dataclass
@@ -166,7 +181,7 @@ def level_counts(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def grow(docs: DataFrame, frequent: dict[bytes, int], n_all: int, n_types: int, t: Tree) -> Model:
-    """The tree. frequent: the words (and perhaps the end) of probability p_min or more, and their counts."""
+    """The tree. frequent: the words of context_count or more, and the end, and their counts."""
     names = sorted(w for w in frequent if w != END)
     symbols = {w: k for k, w in enumerate(names, 1)} | {END: len(names) + 1}
     model = Model(symbols, len(names) + 3)
@@ -192,15 +207,15 @@ def grow(docs: DataFrame, frequent: dict[bytes, int], n_all: int, n_types: int,
             break
         model.paths.append(path)
         counts: dict[int, dict[int, int]] = {}
-        rows = level_counts(docs, model).where((F.col("n") >= t.p_min * t.p_next * n_all) | (F.pmod("code", F.lit(model.base)) == model.base - 1))
-        for row in rows.collect():  # at most 1 / (p_min * p_next) rows, and a total for each of at most 1 / p_min contexts
+        rows = level_counts(docs, model).where((F.col("n") >= t.next_count(n_all)) | (F.pmod("code", F.lit(model.base)) == model.base - 1))
+        for row in rows.collect():  # at most n_all / next_count rows, and a total for each of n_all / context_count contexts: both as the root of n_all
             counts.setdefault(row["code"] // model.base, {})[row["code"] % model.base] = row["n"]
         nodes, longer = np.zeros(len(path), np.int64), []
         for k, word in enumerate(words):
             found = counts.get(k, {})
             total = found.pop(model.base - 1, 0)
             found.pop(0, None)  # other words are in the remaining mass
-            longer += [(k * model.base + s, (*word, s)) for s, n in found.items() if n >= t.p_min * n_all and s <= len(names)]
+            longer += [(k * model.base + s, (*word, s)) for s, n in found.items() if n >= t.context_count(n_all) and s <= len(names)]
             suffix = next((retained[word[i:]] for i in range(1, len(word)) if word[i:] in retained), 0)
             listed = {s: p(suffix, s) for s in found}
             open_, left = 1 - sum(listed.values()), total - sum(found.values())
@@ -236,12 +251,15 @@ def score_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text", t: Tre
     blocks = max(1, -(-chars // t.block_chars))
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(blocks)))
 
-    word = Window.partitionBy("w")  # a row for each block that has the word
-    counted = word_rows(blocked).withColumns({"c": F.sum("n").over(word), "one": F.row_number().over(word.orderBy("block")) == 1})
-    counted = scratch.write(counted, "words")
-    n_all, n_types = counted.where("one and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    often = counted.where(F.col("one") & (F.col("c") > 0) & (F.col("c") >= t.p_min * n_all)).select("w", "c")
-    model = grow(rows.where("not held"), {bytes(r["w"]): r["c"] for r in often.collect()}, n_all, n_types, t)  # at most 1 / p_min words
+    words = scratch.write(word_rows(blocked), "words")
+    sums = scratch.write(words.where("n > 0").groupBy("w").agg(F.sum("n").alias("c")), "sums")
+    n_all, n_types = sums.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    # At most n_all / context_count words, as the root of n_all.
+    often = sums.where((F.col("c") >= t.context_count(n_all)) | (F.col("w") == F.lit(END)))
+    model = grow(rows.where("not held"), {bytes(r["w"]): r["c"] for r in often.collect()}, n_all, n_types, t)
+    hot, columns = F.broadcast(often), ["block", "w", "c"]
+    rare = words.join(hot, "w", "left_anti").select("block", "w").join(sums, "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    counted = words.join(hot, "w").select(columns).union(rare.select(columns))
     sent = spark.sparkContext.broadcast(model)
 
     def score(group: pa.Table, words: pa.Table) -> pa.Table:
@@ -262,7 +280,7 @@ def score_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text", t: Tre
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 7, kinds)], names=[x.split()[0] for x in RESULT.split(", ")])
 
-    return blocked.groupBy("block").cogroup(counted.select("block", "w", "c").groupBy("block")).applyInArrow(score, RESULT)
+    return blocked.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(score, RESULT)
 
 
 def fold_of(doc_id: int | None, t: Tree = Tree()) -> int:

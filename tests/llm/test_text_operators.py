@@ -349,23 +349,89 @@ def test_scores_equal_brute_force(spark, sf_dir):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)  # held-out likelihood
 
 
-def test_suffix_tree_is_a_distribution_and_uses_contexts(spark):
+def brute_tree(texts, t):
+    """Log10 probability of a list of words, from counts held whole: every context and every word."""
+    n, depth = sum(map(len, texts)), t.depth
+    count = Counter(w for x in texts for w in x)
+    root = lambda w: (count[w] + 1) / (n + len(count) + 1)
+    many, few = t.context_count(n), t.next_count(n)
+    frequent = {w for w, c in count.items() if c >= many and w}
+    after = [Counter() for _ in range(depth + 1)]
+    for x in texts:
+        for k in range(1, depth + 1):
+            after[k].update((tuple(x[i - k : i]), x[i]) for i in range(k, len(x)))
+    tree, live = {}, {(w,) for w in frequent}
+
+    def p(context, w):
+        weight = 1.0
+        while context:
+            if w in tree[context][0]:
+                return weight * tree[context][0][w]
+            weight, context = weight * tree[context][1], tree[context][2]
+        return weight * root(w)
+
+    for k in range(1, depth + 1):
+        longer = set()
+        by = {c: {} for c in live}
+        for (c, w), m in after[k].items():
+            if c in live:
+                by[c][w] = m
+        for c in sorted(live):
+            total = sum(by[c].values())
+            listed = {w: m for w, m in by[c].items() if m >= few and (w in frequent or not w)}
+            longer |= {(*c, w) for w, m in listed.items() if w and m >= many}
+            suffix = next((c[i:] for i in range(1, k) if c[i:] in tree), ())
+            q = {w: p(suffix, w) for w in listed}
+            open_, left = 1 - sum(q.values()), total - sum(listed.values())
+            if not listed or open_ <= 0:
+                continue
+            g = 2 * sum(m * math.log(m / total / q[w]) for w, m in listed.items()) + (2 * left * math.log(left / total / open_) if left else 0)
+            if g / (2 * total) >= t.least_divergence and g > len(listed) + t.deviations * math.sqrt(2 * len(listed)):
+                mix = t.prior / (total + t.prior)
+                tree[c] = ({w: (1 - mix) * m / total + mix * q[w] for w, m in listed.items()}, (1 - mix) * left / total / open_ + mix, suffix)
+        live = longer
+
+    def state(before):
+        return next((tuple(before[i:]) for i in range(max(0, len(before) - depth), len(before)) if tuple(before[i:]) in tree), ())
+
+    return (lambda x: sum(math.log10(p(state(x[:i]), w)) for i, w in enumerate(x))), (lambda before, w: p(state(before), w)), tree
+
+
+def cycles(k=240):
     import random
 
-    rng = random.Random(1)
-    follow = {"a": "b", "b": "c", "c": "a"}
-    rows = []
-    for k in range(120):
+    rng, rows, follow = random.Random(1), [], {"a": "b", "b": "c", "c": "a"}
+    for doc in range(k):
         words, at = [], "a"
         for _ in range(60):
             words.append(at)
-            at = follow[at] if rng.random() < 0.9 else rng.choice("abc")
-        rows.append((k, " ".join(words)))
-    # Each of the three words, the end and one unknown word after "a a b": their probabilities sum to 1.
-    probe = [(1000 + k, "a a b" + w) for k, w in enumerate(("", " a", " b", " c", " zzz"))]
-    found = by_id(score_texts(spark.createDataFrame(rows + probe, "doc_id long, text string"), t=Tree(p_min=0.01)))
+            at = follow[at] if rng.random() < 0.7 else "a" if words[-2:] == ["c", "b"] else rng.choice(["a", "b", "c", f"rare{rng.randrange(99)}"])
+            follow.setdefault(at, "a")
+        rows.append((doc, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("t", [Tree(), Tree(depth=2, block_chars=5000, least_next=1, growth=0.1)])
+def test_suffix_tree_scores_equal_brute_force_and_sum_to_one(spark, t):
+    rows = cycles() + [(1000, None), (1001, "a b never seen"), (1002, "c b c b a")]
+    texts = {doc: tokens((x or "").encode()) for doc, x in rows}
+    score, p, tree = brute_tree([x for doc, x in texts.items() if fold_of(doc) != 2], t)
+    assert {1, 2} <= {len(c) for c in tree}
+    found = by_id(score_texts(spark.createDataFrame(rows, "doc_id long, text string"), t=t))
+    for doc, x in texts.items():
+        assert found[doc]["score"] == pytest.approx(score(x), abs=1e-6)
     held = [r for k, r in found.items() if r["held_out"] and k < 1000]
     assert sum(r["score"] for r in held) > 0.8 * sum(r["base_score"] for r in held)
+    # Over all words, the end, and one word that was never seen.
+    vocabulary = {w for doc, x in texts.items() if fold_of(doc) != 2 for w in x} | {b"zzz"}
+    for before in ([], [b"a"], [b"c", b"b"], [b"a", b"b", b"c"], [b"zzz"]):
+        assert sum(p(before, w) for w in vocabulary) == pytest.approx(1)
+
+
+def test_suffix_tree_grows_with_the_corpus():
+    t = Tree()
+    sizes = [n / t.context_count(n) for n in (10**5, 10**7, 10**9, 10**13)]
+    assert all(10 * a <= 1.001 * b for a, b in zip(sizes[:2], sizes[1:])) and sizes[-1] < 1e7
 
 
 # op8
