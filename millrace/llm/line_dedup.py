@@ -6,8 +6,10 @@ with map-side partial steps; lines over the threshold go, the rest is put togeth
 
 Plan: only hashes, ids and positions are shuffled on the way to the decision. Each
 document sends a key once (array_distinct); pairs are dealt by hash and id, so one line
-in a third of the documents is spread over all tasks and then a partial count, not a group. The join back is salted, so a hot line's rows are
-dealt over SALTS tasks. The text itself moves once, in the join by document.
+in a third of the documents is spread over all tasks and then a partial count, not a group.
+The common lines are written and counted: up to BROADCAST of them are sent out, beyond that
+the join back is salted, so that no salt of the most common line has more than about SPREAD
+documents. The text itself moves once, in the join by document.
 
 Defined results: a null text counts as one empty line and gives an empty text. Empty
 keys never drop. Rows of one id count as one document and those with a null id as none, as in the SQL.
@@ -19,9 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, hash128, lower_ascii
+from .common import SPACES, Scratch, hash128, lower_ascii
 
-SALTS = 16
+#: Common lines that may be broadcast (16 bytes each).
+BROADCAST = 500_000
+#: Documents of a line that one salt holds, about.
+SPREAD = 100_000
 
 
 def line_key(line: Column) -> Column:
@@ -29,20 +34,23 @@ def line_key(line: Column) -> Column:
 
 
 def common_lines(docs: DataFrame, doc: str, text: str, min_docs: int, min_chars: int) -> DataFrame:
-    """(h1, h2) of the line keys that at least min_docs documents have."""
+    """(h1, h2, n_docs) of the line keys that at least min_docs documents have."""
     keys = F.array_distinct(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), line_key))
     each = docs.select(F.col(doc).alias("d"), F.explode(keys).alias("key")).where(F.length("key") >= min_chars)
     once = each.select("d", *hash128(F.col("key"))).distinct()
-    return once.groupBy("h1", "h2").agg(F.count("d").alias("n_docs")).where(F.col("n_docs") >= min_docs).select("h1", "h2")
+    return once.groupBy("h1", "h2").agg(F.count("d").alias("n_docs")).where(F.col("n_docs") >= min_docs)
 
 
 def drop_common_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """docs with the text rewritten, and n_lines (before) and n_dropped."""
-    common = common_lines(docs, doc, text, min_docs, min_chars)
+    common = Scratch(docs.sparkSession, "lines").write(common_lines(docs, doc, text, min_docs, min_chars), "common")
+    n, top = common.agg(F.count("*"), F.max("n_docs")).first()
+    salts = 1 if n <= BROADCAST else -(-top // SPREAD)
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     rows = docs.select(F.col(doc).alias("d"), F.xxhash64(text).alias("t"), F.posexplode(lines).alias("pos", "line")).select("d", "t", "pos", line_key(F.col("line")).alias("key"))
-    rows = rows.where(F.length("key") >= min_chars).select("d", "t", "pos", *hash128(F.col("key"))).withColumn("salt", F.pmod(F.xxhash64("t", "pos"), F.lit(SALTS)))
-    salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    rows = rows.where(F.length("key") >= min_chars).select("d", "t", "pos", *hash128(F.col("key"))).withColumn("salt", F.pmod(F.xxhash64("t", "pos"), F.lit(salts).cast("long")))
+    salted = common.select("h1", "h2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    salted = F.broadcast(salted) if n <= BROADCAST else salted  # checked
     # A document's dropped positions are bounded by its own lines.
     dropped = rows.join(salted, ["h1", "h2", "salt"], "left_semi").groupBy("d", "t").agg(F.collect_set("pos").alias("__gone"))
     dropped = dropped.withColumnsRenamed({"d": "__d", "t": "__t"})
