@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import string
 import tempfile
@@ -67,7 +68,8 @@ def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
 class Scratch:
     """Tables written in the folder that driver and executors share.
 
-    Uses spark.checkpoint.dir; where that is unset (local tests) a temporary folder.
+    Uses spark.checkpoint.dir; where that is unset and Spark runs in one process (tests) a
+    temporary folder. On a cluster it must be set: other machines don't see local folders.
     A written table cuts the lineage and survives the loss of an executor.
     """
 
@@ -75,6 +77,8 @@ class Scratch:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             base = getattr(Scratch, "_local", None) or tempfile.mkdtemp(prefix="millrace-")
             Scratch._local = base
         self.root = f"{base.rstrip('/')}/millrace-{label}-{uuid.uuid4().hex}"
