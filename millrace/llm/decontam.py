@@ -7,14 +7,16 @@ word to its window, and every location is followed to its longest verbatim match
 start a run of test words as long as the shortest window are sorted, since no other one
 can match a window; the sort is as deep as the longest window, and matches go on from there.
 
-Plan: one map over the documents without a shuffle. The test set is sent out in blocks
-of bounded size, whatever its size; a document is held against all blocks.
+Plan: one map over the documents without a shuffle. The test set passes the driver and is
+sent out in blocks of bounded size, of which at most blocks_at_once are held anywhere: a
+larger test set takes a pass over the documents for each so many blocks, which carries on
+what the passes before have found, in the shared folder.
 
 Defined results: a null or empty document has no words and isn't contaminated. A null or
 wordless test item never occurs; a null item id counts as an empty string. An item of
 fewer words than the window is one window. Repeated items and rows are handled each by
 itself; item ids are listed once. Extra columns are carried, those with the name of a
-measure are replaced.
+measure, or of what passes hand on (__hits and so on), are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ready_for_python, byte_texts
+from .common import Scratch, byte_texts, ready_for_python
 
 #: Lower-cases A-Z and makes a space of every byte of [\x00-\x2F\x3A-\x60\x7B-\x7F].
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -166,32 +168,33 @@ class Shard:
             live, lo, hi, depth = live[on], left[on], right[on], depth + 1
 
 
-def find_matches(docs: DataFrame, tests: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
-    """docs with the MEASURES: hit words, the items found, the longest verbatim match and its word position."""
-    spark = docs.sparkSession
-    ready_for_python(spark)
-    names = [m[0] for m in MEASURES]
-    carried = [c for c in docs.columns if c not in names]
-    docs = docs.select(*[F.col(f"`{c}`") for c in carried])
-    schema = T.StructType(docs.schema.fields + T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind, _ in MEASURES)).fields)
+#: What one pass leaves to the next: hit ranges of words, items, and the longest match so far.
+_FOUND = (("__hits", "binary", pa.binary()), ("__items", "array<string>", pa.list_(pa.string())), ("__best", "long", pa.int64()), ("__best_item", "string", pa.string()), ("__best_at", "long", pa.int64()))
 
-    blocks, block, size = [], [], 0
-    send = lambda: blocks.append(spark.sparkContext.broadcast(TestSet(block, window)))
-    for row in tests.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.encode(F.coalesce(F.col(item_text), F.lit("")), "UTF-8").alias("t")).toLocalIterator():
-        if block and size + len(row["t"]) > block_bytes:
-            send()
-            block, size = [], 0
-        block.append((row["i"], bytes(row["t"])))
-        size += len(row["t"])
-    send()
+
+def one_pass(docs: DataFrame, text: str, carried: list[str], sets: list[TestSet], first: bool, last: bool) -> tuple[DataFrame, list]:
+    """docs held against some blocks, with the MEASURES if it is the last pass, else with _FOUND; and the broadcasts."""
+    blocks = [docs.sparkSession.sparkContext.broadcast(x) for x in sets]
+    added = MEASURES if last else _FOUND
+    names = [m[0] for m in added]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = byte_texts(batch.column(text))
-            marks, items, best = None, [set() for _ in texts], [(0, None, None)] * len(texts)
+            if first:
+                hits, items, best = [b""] * len(texts), [set() for _ in texts], [(0, None, None)] * len(texts)
+            else:
+                hits, items, *best = (batch.column(name).to_pylist() for name, _, _ in _FOUND)
+                items, best = [set(x) for x in items], list(zip(*best))
+            marks = None
             for sent in blocks:
                 shard = Shard(texts, tests := sent.value)
-                marks = np.zeros(len(shard.ids) + 1, np.int64) if marks is None else marks
+                if marks is None:
+                    marks = np.zeros(len(shard.ids) + 1, np.int64)
+                    for at, ranges in zip(shard.first, hits):
+                        ranges = np.frombuffer(ranges, np.int64).reshape(-1, 2) + at
+                        np.add.at(marks, ranges[:, 0], 1)
+                        np.add.at(marks, ranges[:, 1], -1)
                 marked, listed = set(), set()
                 for k, n, interval, at, starts, size in shard.search(tests):
                     if (n, interval) not in marked:
@@ -205,13 +208,49 @@ def find_matches(docs: DataFrame, tests: DataFrame, text: str = "text", item: st
                     for d, start, length in zip((np.searchsorted(shard.first, starts, "right") - 1).tolist(), starts.tolist(), size.tolist()):
                         if length > best[d][0]:
                             best[d] = (length, tests.names[k], start - int(shard.first[d]))
-            hit = np.concatenate([[0], np.cumsum(np.cumsum(marks) > 0)])
-            n_hit = hit[shard.first + shard.n_words] - hit[shard.first] if len(texts) else []
-            columns = [shard.n_words, n_hit, [sorted(x) for x in items], *([b[i] for b in best] for i in range(3)), [bool(x) for x in n_hit]]
-            found = [pa.array(x, kind) for x, (_, _, kind) in zip(columns, MEASURES)]
+            on = np.cumsum(marks) > 0
+            lists = [sorted(x) for x in items]
+            if last:
+                hit = np.concatenate([[0], np.cumsum(on)])
+                n_hit = hit[shard.first + shard.n_words] - hit[shard.first] if len(texts) else []
+                columns = [shard.n_words, n_hit, lists, *([b[i] for b in best] for i in range(3)), [bool(x) for x in n_hit]]
+            else:
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], on.view(np.int8), [0]])))
+                ranges = edge.reshape(-1, 2)
+                part = np.searchsorted(ranges[:, 0], np.append(shard.first, len(marks)))
+                columns = [[(ranges[part[d] : part[d + 1]] - shard.first[d]).astype(np.int64).tobytes() for d in range(len(texts))], lists, *([b[i] for b in best] for i in range(3))]
+            found = [pa.array(x, kind) for x, (_, _, kind) in zip(columns, added)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in carried] + found, names=carried + names)
 
-    return docs.mapInArrow(scan, schema)
+    schema = T.StructType(docs.select(*[F.col(f"`{c}`") for c in carried]).schema.fields + T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind, _ in added)).fields)
+    return docs.mapInArrow(scan, schema), blocks
+
+
+def find_matches(docs: DataFrame, tests: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 4 << 20, blocks_at_once: int = 16) -> DataFrame:
+    """docs with the MEASURES: hit words, the items found, the longest verbatim match and its word position."""
+    spark = docs.sparkSession
+    ready_for_python(spark)
+    names = [m[0] for m in (*MEASURES, *_FOUND)]
+    carried = [c for c in docs.columns if c not in names]
+    docs = docs.select(*[F.col(f"`{c}`") for c in carried])
+    scratch, before, first = Scratch(spark, "tests"), None, True
+
+    sets, block, size = [], [], 0
+    rows = tests.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.encode(F.coalesce(F.col(item_text), F.lit("")), "UTF-8").alias("t"))
+    for row in rows.toLocalIterator():
+        if block and size + len(row["t"]) > block_bytes:
+            sets.append(TestSet(block, window))
+            block, size = [], 0
+            if len(sets) == blocks_at_once:
+                docs, sent = one_pass(docs, text, carried, sets, first, False)
+                docs, sets, first = scratch.write(docs, "pass"), [], False
+                for x in sent:
+                    x.destroy()
+                scratch.drop(before)
+                before = docs
+        block.append((row["i"], bytes(row["t"])))
+        size += len(row["t"])
+    return one_pass(docs, text, carried, [*sets, TestSet(block, window)], first, True)[0]
 
 
 def decontaminate(docs: DataFrame, tests: DataFrame, **options) -> DataFrame:

@@ -457,15 +457,15 @@ def brute_matches(docs, items, window=10):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 22, 600])
-def test_matches_equal_brute_force(spark, sf_dir, block_bytes):
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 600}, {"block_bytes": 3000, "blocks_at_once": 2}])
+def test_matches_equal_brute_force(spark, sf_dir, options):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     more = [(-1, None), (-2, ""), (-3, "One two THREE, four! one two"), (-4, "one-two one two three"), (-5, "é中 x"), (-6, "three four five one two three four")]
     both = docs.union(spark.createDataFrame(more, "doc_id long, text string"))
     tests = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     tests = tests.union(spark.createDataFrame([(900, "one two three"), (900, "one two three"), (901, None), (902, "..."), (903, "É"), (904, "é中"), (None, "three four five")], "item_id long, text string"))
     items = [("" if r[0] is None else r[0], r[1]) for r in tests.collect()]
-    found = find_matches(both, tests, block_bytes=block_bytes)
+    found = find_matches(both, tests, **options)
     assert {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["items"]), r["contaminated"]) for r in found.collect()} == brute_matches({r["doc_id"]: r["text"] or "" for r in both.collect()}, items)
 
 
@@ -473,6 +473,8 @@ def test_longest_match_and_removal(spark):
     item = " ".join(f"w{k}" for k in range(30))
     docs = spark.createDataFrame([(1, "x y " + " ".join(f"w{k}" for k in range(4, 25)) + " z"), (2, "clean words"), (3, " ".join(f"w{k}" for k in range(9)))], "doc_id long, text string")
     tests = spark.createDataFrame([(7, item)], "item_id long, text string")
+    more = spark.createDataFrame([(8, "w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 z"), (9, "other words")], "item_id long, text string")
+    assert sorted(map(str, find_matches(docs, tests.union(more)).collect())) == sorted(map(str, find_matches(docs, tests.union(more), block_bytes=1, blocks_at_once=1).collect()))
     r = by_id(find_matches(docs, tests))[1]
     assert (r["longest_match"], r["longest_item"], r["longest_at"], r["n_hit"]) == (21, "7", 2, 21)
     assert sorted(by_id(decontaminate(docs, tests))) == [2, 3]
