@@ -13,8 +13,8 @@ without its country code, a card in dotted groups, an address with spaces around
 @), and numbers that are no personal data (years, amounts, versions, dates) are put
 in, so that the field learns shapes and contexts beyond the patterns.
 
-Plan: the sample is taken by hash with a bounded top-k; the weights are small and
-broadcast; finding spans is one map over whole texts. Text without a digit or @ costs a
+Plan: the sample is taken by hash, so many of each kind, with a top-k in the tasks before
+the shuffle; the weights are small and broadcast; finding spans is one map over whole texts. Text without a digit or @ costs a
 search only.
 
 Defined results: a null text is empty and has no span. Positions are code points, ends
@@ -28,12 +28,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,16 +49,18 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
+_ADDRESS = re.compile(r"^[\w.%+-]+ ?@ ?[\w-]+(?:\.[\w-]+)+[.,;:!?)]*$")
 _ANCHOR = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 MOST_TOKENS, MOST_CHARS, AROUND, DIM = 5, 48, 3, 1 << 13
+MOST_WINDOW, OVERLAP = 512, 2 * MOST_TOKENS + AROUND
 O = len(KINDS)  # noqa: E741  the type of plain text
 
 
 @dataclass(frozen=True)
 class Field:
-    #: Windows that the field is trained on, at most, and the most tokens of one.
-    sample_windows: int = 300
+    #: Examples that the field is trained on, at most, of each kind of entity and of plain text, and the most tokens of one.
+    sample_windows: int = 80
     sample_tokens: int = 24
     epochs: int = 6
     rate: float = 0.3
@@ -99,12 +103,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def windows(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Runs of tokens (start, end) that reach AROUND tokens to both sides of a digit or @."""
+    """Runs of tokens (start, end) that reach AROUND tokens to both sides of a digit or @.
+
+    A run of more than MOST_WINDOW tokens comes in parts that share OVERLAP tokens, so that
+    a table of numbers of any length takes bounded memory.
+    """
     if not _ANCHOR.search(text):
         return
     found, last = [], -10 * AROUND  # the last anchor
     for k, m in enumerate(_TOKEN.finditer(text)):
         found.append((m.start(), m.end()))
+        if len(found) > MOST_WINDOW and last >= 0:
+            yield found[:-1]
+            found = found[-OVERLAP - 1 :]
         if _ANCHOR.search(m[0]):
             last = k
         elif k - last > 2 * AROUND:  # too far from it: its window is over
@@ -143,13 +154,15 @@ def features(part: str, n_tokens: int, before: str, after: str) -> list[int]:
     ]
     if len(d) >= 12:
         names.append(f"luhn={luhn(d)},{14 <= len(d) <= 19}")
+    if "@" in part:
+        names.append(f"address={bool(_ADDRESS.search(part))}")
     if part.count(".") == 3:
         names.append(f"octets={all(p.isdigit() and int(p) <= 255 for p in part.split('.') if len(p) < 5)}")
     return [_slot(x) for x in names]
 
 
 def lattice(text: str, tokens: list[tuple[int, int]]) -> list[list[list[int] | None]]:
-    """[end token][length - 1]: features of the span, or None where it is too long or has no digit or @."""
+    """[end token][length - 1]: features of the span, or None where it is too long or has no @ and no digit at an end."""
     words, out = [text[a:b] for a, b in tokens], []
     for end in range(len(tokens)):
         row: list[list[int] | None] = []
@@ -160,7 +173,7 @@ def lattice(text: str, tokens: list[tuple[int, int]]) -> list[list[list[int] | N
                 row += [[_slot("long")]] if n == 1 else [None]
             else:
                 part = text[a:b].replace("\n", " ")
-                row.append(features(part, n, before, after) if n == 1 or _ANCHOR.search(words[end]) and _ANCHOR.search(words[end - n + 1]) else None)
+                row.append(features(part, n, before, after) if n == 1 or "@" in part or _ANCHOR.search(words[end]) and _ANCHOR.search(words[end - n + 1]) else None)
         out.append(row)
     return out
 
@@ -231,6 +244,18 @@ def decode(s: np.ndarray, moves: np.ndarray) -> list[tuple[int, int, int]]:
     return out[::-1]
 
 
+class Clear:
+    """Whether no span overlaps a range; spans come sorted by start."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts = [x for x, _, _ in spans]
+        self.ends = list(accumulate((y for _, _, y in spans), max))
+
+    def __call__(self, a: int, b: int) -> bool:
+        n = bisect_left(self.starts, b)
+        return not n or self.ends[n - 1] <= a
+
+
 @dataclass
 class Crf:
     weights: np.ndarray  # [type, feature]
@@ -239,7 +264,7 @@ class Crf:
 
     def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """(start, kind, end) of the entities that overlap no span of base."""
-        out = []
+        out, clear = [], Clear(base)
         for tokens in windows(text):
             s = scores(self.weights, lattice(text, tokens), tokens)
             for first, kind, last in decode(s, self.moves):
@@ -248,7 +273,7 @@ class Crf:
                 a, b = tokens[first][0], tokens[last][1]
                 while b > a and text[b - 1] in ".,;:!?\"')":
                     b -= 1
-                if b > a and not any(x < b and a < y for x, _, y in base):
+                if b > a and clear(a, b) and (not out or out[-1][2] <= a):  # parts of a long window share tokens
                     out.append((a, kind, b))
         return out
 
@@ -261,7 +286,7 @@ def rewritten(kind: int, part: str, pick: int) -> str:
     d = digits_of(part)
     if kind == 0:
         local, _, domain = part.partition("@")
-        return (f"{local} @ {domain}", f"{local} at {domain}", f"{local}@ {domain}")[pick % 3]
+        return (f"{local} @ {domain}", f"{local} @{domain}", f"{local}@ {domain}")[pick % 3]
     if kind == 2:
         cut = [d[i : i + 4] for i in range(0, len(d), 4)]
         return (".".join(cut), "/".join(cut))[pick % 2]
@@ -277,12 +302,13 @@ Example = tuple[str, list[tuple[int, int]], list[tuple[int, int, int]]]
 def examples(text: str, most_tokens: int) -> Iterator[tuple[str, list[tuple[int, int, int]]]]:
     """Short texts with their entities: windows as they are, rewritten, and with plain numbers put in."""
     base = base_spans(text)
+    free, starts = Clear(base), [x for x, _, _ in base]
     for tokens in windows(text):
         tokens = tokens[:most_tokens]
         a, b = tokens[0][0], tokens[-1][1]
-        inside = [x for x in base if a <= x[0] and x[2] <= b]
-        if any(x < b < y or x < a < y for x, _, y in base):
-            continue
+        if not free(a, a) or not free(b, b):
+            continue  # an entity lies across an end
+        inside = base[bisect_left(starts, a) : bisect_left(starts, b)]
         if not inside and ("@" in text[a:b] or len(digits_of(text[a:b])) >= 7):
             continue  # it may hold an entity that the patterns miss: no example of plain text
         clear = [x for k, x in enumerate(inside) if all(x[2] <= y[0] or y[2] <= x[0] for y in inside[:k])]
@@ -299,16 +325,18 @@ def examples(text: str, most_tokens: int) -> Iterator[tuple[str, list[tuple[int,
 
 
 def fit(docs: DataFrame, text: str, f: Field) -> Crf | None:
-    """The field, from the windows with the smallest hashes: bounded by f.sample_windows."""
+    """The field, from the examples with the smallest hashes: f.sample_windows of each kind at most."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 rows = [(x, [list(y) for y in spans]) for t in part.column(0).to_pylist() if t for x, spans in examples(t, f.sample_tokens) if len(x) <= 40 * f.sample_tokens]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([y for _, y in rows], pa.list_(pa.list_(pa.int32())))], names=["x", "spans"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([y for _, y in rows], pa.list_(pa.list_(pa.int32()))), pa.array([y[0][1] if y else O for _, y in rows], pa.int32())], names=["x", "spans", "kind"])
 
-    found = docs.select(text).where(F.col(text).rlike("[0-9@]")).mapInArrow(sample, "x string, spans array<array<int>>")
-    chosen = found.distinct().orderBy(F.xxhash64("x"), "x").limit(f.sample_windows).collect()
+    found = docs.select(text).where(F.col(text).rlike("[0-9@]")).mapInArrow(sample, "x string, spans array<array<int>>, kind int")
+    first = Window.partitionBy("kind").orderBy(F.xxhash64("x"), "x", F.to_json("spans"))
+    ranked = found.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= f.sample_windows)
+    chosen = ranked.orderBy(F.xxhash64("x"), "x", F.to_json("spans")).collect()  # at most sample_windows of each of five kinds
     ready = []
     for row in chosen:
         tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(row["x"])]
