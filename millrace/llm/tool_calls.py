@@ -7,15 +7,21 @@ whose arguments hold the string "$<id>" depends on the call of that id.
 
 Calls and results meet in an equi-join on a hash of conversation and identifier (the
 identifiers themselves are compared too). The order is topological: level 0 calls depend
-on nothing, the others come after all that they depend on; a call in a cycle, behind one,
-or behind an unknown id has no level. Arguments are valid if every required parameter is
-there and every given parameter is declared with the type of its value ("$<id>" has any type). JSON is canonical:
-keys sorted, no spaces.
-
-Plan: SQL functions only. Plain messages pass one projection and a left join; only calls,
-results and tools are shuffled besides. A row is returned for each message, so a very
-long conversation is never gathered. Each level of dependencies is one round over the
-calls that are still open, written to the shared folder.
+on nothing, the others come after all that they depend on; a call in a cycle or behind one
+has no level. A message's calls are put in that order, those without a level last.
+JSON is canonical: keys sorted, no spaces.
+
+Arguments are valid if they fit the tool's schema at every depth: type (one, or a list of
+them), enum, required, properties and items. A name that isn't listed is invalid where the
+schema lists names, unless additionalProperties is true; the top level always lists them.
+A schema without type takes any. "$<id>" of a call in the conversation has any type;
+any other string that begins with $ is a string.
+
+Plan: SQL functions only. Plain messages pass one projection and are united with the rest;
+only calls, results and tools are shuffled. A row is returned for each message, so a very
+long conversation is never gathered. Schemas and arguments become rows of (path, value), a
+round for each depth, and meet in a join by path. Each level of dependencies is one round
+over the edges that are still open; tables go to the shared folder.
 
 Defined results: a null or empty text is a plain message with an empty text; text that is
 no JSON object of the above kinds is plain. Calls or results without an identifier link
@@ -36,7 +42,7 @@ _SCHEMA = (
     "tool_calls array<struct<id:string,name:string,arguments:string>>, tool_call_id string, content string"
 )
 #: What a JSON schema type is called in Spark's schema of a variant.
-_TYPES = {"string": r"^STRING", "integer": r"^(BIGINT|DECIMAL\(\d+,0\))", "number": r"^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "boolean": r"^BOOLEAN", "array": r"^ARRAY", "object": r"^OBJECT"}
+_TYPES = {"string": r"^STRING", "integer": r"^(BIGINT|DECIMAL\(\d+,0\))", "number": r"^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "boolean": r"^BOOLEAN", "array": r"^ARRAY", "object": r"^OBJECT", "null": r"^VOID"}
 
 
 def canonical(json: Column) -> Column:
@@ -57,39 +63,90 @@ def parsed_messages(rows: DataFrame, conv: str, turn: str, role: str, text: str)
     return out.select("conv", "turn", "role", "text", F.col("x.tools").alias("tools"), F.col("x.tool_calls").alias("calls"), F.col("x.tool_call_id").alias("result_of"), F.col("x.content").alias("content"))
 
 
-def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
-    """(conv, id, level) of the calls (conv, id, needs) that are in no cycle and need no unknown id."""
-    edges = scratch.write(calls.select("conv", "id", F.explode("needs").alias("need")).distinct(), "needs")
-    done = scratch.write(calls.where(F.size("needs") == 0).select("conv", "id", F.lit(0).alias("level")), "levels")
-    if edges.isEmpty():
-        return done
-    open_, rounds = edges, 0
-    while True:
-        rounds += 1
-        met = open_.join(done.select(F.col("conv").alias("c"), F.col("id").alias("d"), "level"), F.col("conv").eqNullSafe(F.col("c")) & (F.col("need") == F.col("d")), "left")
-        state = met.groupBy("conv", "id").agg(F.min(F.col("level").isNotNull()).alias("ready"), F.max("level").alias("top"))
-        new = scratch.write(state.where("ready").select("conv", "id", (F.col("top") + 1).alias("level")), "levels")
-        if new.isEmpty():
+def levels(heads: DataFrame, needs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv, id, level) of the heads (conv, id) that are in no cycle and behind none; needs: (conv, id, need)."""
+    same = lambda x, c, d: F.col("conv").eqNullSafe(F.col(c)) & (F.col(x) == F.col(d))
+    names = lambda df: df.select(F.col("conv").alias("c"), F.col("id").alias("d"))
+    open_ = scratch.write(needs.distinct(), "needs")
+    new = heads.join(names(open_), same("id", "c", "d"), "left_anti").select("conv", "id", F.lit(0).alias("level"))
+    done, level = new, 0
+    while not open_.isEmpty():
+        new, level = new if level else scratch.write(new, "level"), level + 1
+        done = new if level == 1 else done.union(new)
+        met = open_.join(names(new), same("need", "c", "d"), "left_semi").select("conv", "id").distinct()
+        rest = scratch.write(open_.join(names(new), same("need", "c", "d"), "left_anti"), "needs")
+        new = scratch.write(met.join(names(rest), same("id", "c", "d"), "left_anti").withColumn("level", F.lit(level)), "level")
+        scratch.drop(open_)
+        open_ = rest
+        if new.isEmpty():  # the rest is in cycles or behind them
             return done
-        done = scratch.write(done.union(new), "levels")
-        open_ = scratch.write(open_.join(new.select(F.col("conv").alias("c"), F.col("id").alias("d")), F.col("conv").eqNullSafe(F.col("c")) & (F.col("id") == F.col("d")), "left_anti"), "needs")
+    return done if level == 0 else done.union(new)
+
+
+def by_path(rows: DataFrame, children, scratch: Scratch) -> DataFrame:
+    """rows with a JSON value, and its parts at every depth: path, parent (a path) and json; children(variant) gives (step, json)."""
+    keys = [c for c in rows.columns if c != "json"]
+    now = scratch.write(rows.select(*keys, F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), "json"), "depth")
+    out = now
+    while True:
+        below = now.select(*keys, F.col("path").alias("parent"), F.explode(children(F.try_parse_json("json"))).alias("x"))
+        now = scratch.write(below.select(*keys, F.concat("parent", "x.step").alias("path"), "parent", "x.json"), "depth")
+        if now.isEmpty():
+            return out
+        out = out.union(now)
+
+
+def _entries(v: Column, path: str) -> Column:
+    parts = F.map_entries(F.try_variant_get(v, path, "map<string,variant>"))
+    return F.coalesce(F.transform(parts, lambda e: F.struct(F.concat(F.lit("/k:"), F.replace(e["key"], F.lit("/"), F.lit("//"))).alias("step"), F.to_json(e["value"]).alias("json"))), F.array())
+
 
+def _item(v: Column) -> Column:
+    return F.struct(F.lit("/i").alias("step"), F.to_json(v).alias("json"))
 
-def validated(calls: DataFrame, tools: DataFrame) -> DataFrame:
-    """calls with valid: whether the arguments fit the tool that the conversation declares."""
-    t = tools.select(F.col("conv").alias("c"), F.col("name").alias("tool"), "types", "required")
-    met = calls.join(t, F.col("conv").eqNullSafe(F.col("c")) & (F.col("name") == F.col("tool")), "left")
-    given = F.map_entries("args")
 
-    def fits(entry: Column) -> Column:
-        kind, want = F.schema_of_variant(entry["value"]), F.element_at(F.col("types"), entry["key"])
-        ok = kind.startswith("STRING") & F.coalesce(F.try_variant_get(entry["value"], "$", "string").startswith("$"), F.lit(False))  # another call's result
-        for name, pattern in _TYPES.items():
-            ok = ok | ((want == name) & kind.rlike(pattern))
-        return F.coalesce(ok, F.lit(False))
+def schema_parts(v: Column) -> Column:
+    items = F.try_variant_get(v, "$.items", "variant")
+    return F.concat(_entries(v, "$.properties"), F.when(items.isNotNull(), F.array(_item(items))).otherwise(F.array()))
 
-    complete = F.forall(F.coalesce("required", F.array().cast("array<string>")), lambda r: F.array_contains(F.map_keys("args"), r))
-    return met.withColumn("valid", F.coalesce(F.col("tool").isNotNull() & F.col("args").isNotNull() & complete & F.forall(given, fits), F.lit(False))).drop("c", "tool", "types", "required")
+
+def value_parts(v: Column) -> Column:
+    return F.concat(_entries(v, "$"), F.coalesce(F.transform(F.try_variant_get(v, "$", "array<variant>"), _item), F.array()))
+
+
+def validated(values: DataFrame, tools: DataFrame, scratch: Scratch) -> DataFrame:
+    """(call, valid): whether the values (call, conv, name, path, parent, json, known) fit the schemas (conv, name, json)."""
+    v = F.try_parse_json("json")
+    kinds = F.coalesce(F.try_variant_get(v, "$.type", "array<string>"), F.when(F.schema_of_variant(F.try_variant_get(v, "$.type", "variant")) == "STRING", F.array(F.try_variant_get(v, "$.type", "string"))))
+    names = F.try_variant_get(v, "$.properties", "map<string,variant>")
+    schema = scratch.write(
+        by_path(tools, schema_parts, scratch).select(
+            F.col("conv").alias("c"),
+            F.col("name").alias("tool"),
+            F.col("path").alias("p"),
+            kinds.alias("kinds"),
+            F.transform(F.try_variant_get(v, "$.enum", "array<variant>"), lambda x: F.to_json(x)).alias("enum"),
+            F.try_variant_get(v, "$.required", "array<string>").alias("required"),
+            ((names.isNotNull() | (F.col("path") == "")) & ~F.coalesce(F.try_variant_get(v, "$.additionalProperties", "boolean"), F.lit(False))).alias("closed"),
+        ),
+        "schema",
+    )
+    at = lambda path: F.col("conv").eqNullSafe(F.col("c")) & (F.col("name") == F.col("tool")) & (F.col(path) == F.col("p"))
+    met = values.join(schema, at("path"), "left").drop("c", "tool")
+    up = schema.select("c", "tool", F.col("p").alias("pp"), F.col("closed").alias("shut"))
+    met = met.join(up, F.col("conv").eqNullSafe(F.col("c")) & (F.col("name") == F.col("tool")) & (F.col("parent") == F.col("pp")), "left")
+    kind, keys = F.schema_of_variant(v), F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+    of_kind = F.exists("kinds", lambda k: F.coalesce(*[F.when(k == name, kind.rlike(pattern)) for name, pattern in _TYPES.items()], F.lit(False)))
+    fits = (
+        (F.col("kinds").isNull() | of_kind)
+        & (F.col("enum").isNull() | F.array_contains("enum", F.to_json(v)))
+        & (F.col("required").isNull() | keys.isNull() | F.forall("required", lambda r: F.array_contains(keys, r)))
+        & ((F.col("path") != "") | keys.isNotNull())
+    )
+    # Without a schema of its own, a part is free unless its parent lists names; the top level needs its tool.
+    free = (F.col("path") != "") & ~(F.coalesce("shut", F.lit(False)) & F.startswith(F.substring("path", F.length("parent") + 1, F.lit(3)), F.lit("/k:")))
+    good = F.when(F.col("p").isNull(), free).otherwise(fits | (F.col("known") & (F.col("path") != "")))
+    return met.groupBy("call").agg(F.min(F.coalesce(good, F.lit(False))).alias("valid"))
 
 
 def link_tool_calls(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -99,27 +156,31 @@ def link_tool_calls(rows: DataFrame, conv: str = "conv_id", turn: str = "turn",
     plain = F.col("calls").isNull() & F.col("result_of").isNull() & F.col("tools").isNull()
     special = scratch.write(parsed.where(~plain).withColumn("row", _key("conv", "turn", "role", "text")).dropDuplicates(["conv", "turn", "role", "text"]), "special")
 
-    declared = special.select("conv", "turn", F.explode("tools").alias("t")).select("conv", "turn", "t.name", F.try_parse_json("t.parameters").alias("p"))
-    types = F.transform_values(F.expr("try_variant_get(p, '$.properties', 'map<string,variant>')"), lambda k, v: F.try_variant_get(v, "$.type", "string"))
-    declared = declared.withColumns({"types": types, "required": F.expr("try_variant_get(p, '$.required', 'array<string>')")}).drop("p")
-    first = Window.partitionBy("conv", "name").orderBy("turn", F.to_json("types"))
-    declared = declared.where("name is not null").withColumn("n", F.row_number().over(first)).where("n = 1")
-
-    calls = special.select("conv", "turn", "row", F.posexplode("calls").alias("pos", "c")).select("conv", "turn", "row", "pos", "c.id", "c.name", F.try_parse_json("c.arguments").alias("v"))
-    calls = calls.withColumns({"arguments": F.to_json("v"), "args": F.expr("try_variant_get(v, '$', 'map<string,variant>')")})
-    calls = calls.withColumn("needs", F.array_distinct(F.regexp_extract_all(F.coalesce("arguments", F.lit("")), F.lit(r'"\$([^"\\]+)"'), F.lit(1))))
-    calls = validated(calls, declared).drop("v", "args")
-    calls = scratch.write(calls.withColumn("key", _key("conv", "id")), "calls")
+    declared = special.select("conv", "turn", F.explode("tools").alias("t")).select("conv", "turn", "t.name", canonical(F.coalesce("t.parameters", F.lit("{}"))).alias("json"))
+    first = Window.partitionBy("conv", "name").orderBy("turn", "json")
+    declared = declared.where("name is not null").withColumn("n", F.row_number().over(first)).where("n = 1").select("conv", "name", "json")
+
+    calls = special.select("conv", "turn", "row", F.posexplode("calls").alias("pos", "c")).select("conv", "turn", "row", "pos", "c.id", "c.name", canonical(F.col("c.arguments")).alias("arguments"))
+    calls = scratch.write(calls.withColumns({"key": _key("conv", "id"), "call": F.concat_ws(":", "row", "pos")}), "calls")
     # The call that an id stands for.
     head = calls.where("id is not null").withColumn("n", F.row_number().over(Window.partitionBy("conv", "id").orderBy("turn", "pos", "row"))).where("n = 1")
-    head = scratch.write(head.select("conv", "id", "key", "name", F.col("turn").alias("call_turn"), "row", "pos", "needs"), "heads")
-    level = levels(head, scratch).select(F.col("conv").alias("lc"), F.col("id").alias("lid"), "level")
+    head = scratch.write(head.select("conv", "id", "key", "name", F.col("turn").alias("call_turn"), "call"), "heads")
+
+    values = by_path(calls.where("arguments is not null").select("call", "conv", "name", F.col("arguments").alias("json")), value_parts, scratch)
+    need = F.when(F.col("json").startswith('"$'), F.substring(F.try_variant_get(F.try_parse_json("json"), "$", "string"), 2, 1 << 30))
+    heads_ = head.select(F.col("conv").alias("hc"), F.col("id").alias("hid"), F.lit(True).alias("known"))
+    values = values.withColumn("need", need).join(heads_, F.col("conv").eqNullSafe(F.col("hc")) & (F.col("need") == F.col("hid")), "left")
+    values = scratch.write(values.select("call", "conv", "name", "path", "parent", "json", F.when(F.col("known"), F.col("need")).alias("need"), F.coalesce("known", F.lit(False)).alias("known")), "values")
+    needs = values.where("known").select("call", "need").join(head.select("conv", "id", "call"), "call").select("conv", "id", "need")
+    level = levels(head, needs, scratch).select(F.col("conv").alias("lc"), F.col("id").alias("lid"), "level")
+    calls = calls.join(validated(values, declared, scratch), "call", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
 
     results = special.where("result_of is not null").select("conv", "turn", "row", F.col("result_of").alias("id"), "content").withColumn("key", _key("conv", "id"))
     answered = results.groupBy("key", "conv", "id").agg(F.min("turn").alias("result_turn")).withColumnsRenamed({"key": "k", "conv": "rc", "id": "rid"})
     same = lambda k, c, i: (F.col("key") == F.col(k)) & F.col("conv").eqNullSafe(F.col(c)) & (F.col("id") == F.col(i))
     joined = calls.join(answered, same("k", "rc", "rid"), "left").join(level, F.col("conv").eqNullSafe(F.col("lc")) & (F.col("id") == F.col("lid")), "left")
-    one = F.struct("pos", F.struct("arguments", "id", "level", "name", "result_turn", "valid").alias("call"))
+    place = F.coalesce("level", F.lit((1 << 31) - 1))
+    one = F.struct(place.alias("place"), "pos", F.struct("arguments", "id", "level", "name", "result_turn", "valid").alias("call"))
     by_row = joined.groupBy("row").agg(
         F.array_sort(F.collect_list(one)).alias("found"),  # bounded by the message
         F.count("result_turn").alias("linked"),
@@ -131,7 +192,7 @@ def link_tool_calls(rows: DataFrame, conv: str = "conv_id", turn: str = "turn",
     extra = by_row.withColumnRenamed("row", "r").join(by_result.withColumnRenamed("row", "r"), "r", "full")
 
     message = lambda **more: F.to_json(F.struct(*[c.alias(k) for k, c in sorted({"conv_id": F.col("conv"), "role": F.col("role"), "turn": F.col("turn"), **more}.items())]), {"ignoreNullFields": "false"})
-    every = parsed.withColumn("row", F.when(~plain, _key("conv", "turn", "role", "text"))).join(extra, F.col("row") == F.col("r"), "left")
+    every = parsed.where(~plain).withColumn("row", _key("conv", "turn", "role", "text")).join(extra, F.col("row") == F.col("r"), "left")
     kind = F.when(F.col("calls").isNotNull(), "calls").when(F.col("result_of").isNotNull(), "result").when(F.col("tools").isNotNull(), "tools").otherwise("plain")
     calls_json = F.transform("found", lambda x: x["call"])
     json = (
@@ -140,7 +201,7 @@ def link_tool_calls(rows: DataFrame, conv: str = "conv_id", turn: str = "turn",
         .when(kind == "tools", message(tools=canonical(F.get_json_object("text", "$.tools"))))
         .otherwise(message(content=F.col("text")))
     )
-    return every.select(
+    linked = every.select(
         F.col("conv").alias(conv),
         F.col("turn").alias(turn),
         F.col("role").alias(role),
@@ -151,3 +212,6 @@ def link_tool_calls(rows: DataFrame, conv: str = "conv_id", turn: str = "turn",
         F.when(kind == "result", F.col("result_level")).otherwise(F.col("top")).alias("level"),
         json.alias("json"),
     )
+    zero, no_level = F.lit(0).cast("long"), F.lit(None).cast("int")
+    rest = parsed.where(plain).select(F.col("conv").alias(conv), F.col("turn").alias(turn), F.col("role").alias(role), F.lit("plain").alias("kind"), zero.alias("n_calls"), zero.alias("n_linked"), zero.alias("n_valid"), no_level.alias("level"), message(content=F.col("text")).alias("json"))
+    return rest.union(linked)
