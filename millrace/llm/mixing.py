@@ -11,12 +11,15 @@ and mass moves between their probabilities at the rate of their sizes (the expec
 words of the pair stay as they are) until one of the two is 0 or 1; which way is random,
 with odds that keep every document's expectation. One fractional document is left of
 each fold, and the folds form a reduction tree: GROUP fractions are folded in one group,
-the residuals again, until one is left of each source, which is drawn. So a source's
-words miss its target by less than one document.
+the residuals again, until GROUP are left of each source. A long document is mostly what a
+fold leaves, so about RESERVE documents of each source, drawn by hash, wait for the last
+group: there the residuals come first and shorter and shorter documents after them, which
+take up what the long ones lack, and the one that is left, and drawn, is short. A source's
+words miss its target by less than that document.
 
 Plan: only (id, size, source) is shuffled, never the text. A hot source is dealt over
-many groups, so no group holds more than GROUP rows at any level, and the number of
-levels is the logarithm of the source's documents. All randomness is a hash of ids and
+many groups, so no group holds more than GROUP rows, or GROUP and about RESERVE in a
+source's last one, and the number of levels is the logarithm of the source's documents. All randomness is a hash of ids and
 the level: reruns agree.
 
 Defined results: a null text has size 0; a document of size 0 is taken 0 times. A null
@@ -32,7 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, word_count
 
-GROUP = 64
+#: Fractions in a group of the tree, and of a source about that are kept for its last group.
+GROUP, RESERVE = 64, 1024
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most_copies: int = 2) -> DataFrame:
@@ -88,28 +92,37 @@ def pivotal_round(units: DataFrame, scratch: Scratch, seed: int = 0) -> DataFram
     The driver sees one number a level: the largest count of fractions in a source.
     """
     keys = ["source", "doc", "rn", "size", "p"]
-    decided, level, todo = None, 0, units.select(*keys)
+    same = lambda df, n: df.join(F.broadcast(n) if n.count() < 100_000 else n, df["source"].eqNullSafe(n["source"])).drop(n["source"])
+    units = same(units.select(*keys), units.groupBy("source").agg(F.count("*").alias("all")))
+    kept = _draw("doc", "rn", seed=seed + 3000) * F.col("all") < RESERVE
+    reserve, todo = units.where(kept).select(*keys), units.where(~kept).select(*keys)
+    decided, level = None, 0
+
+    def fold(dealt: DataFrame, by: list[str], name: str) -> DataFrame:
+        """Long documents come first: of the shorter ones after them some make them integral, so that a short one is left."""
+        folded = dealt.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("shorter"), "doc", "rn", "size", "p"))).alias("x"))
+        units_ = F.transform("x", lambda u: F.struct(u["doc"].alias("doc"), u["rn"].alias("rn"), u["size"].alias("size"), u["p"].alias("p")))
+        folded = folded.select("source", _fold(units_, F.lit(seed + 1000 + level)).alias("f"))
+        return scratch.write(folded.select("source", F.inline(F.concat("f.done", F.array("f.at")))), name)
+
+    whole = F.col("p").isin(0.0, 1.0)
     while True:
-        counted = todo.groupBy("source").agg(F.count("*").alias("n"))
-        most = counted.agg(F.max("n")).first()[0] or 0
-        if most <= 1:
+        counted = scratch.write(todo.groupBy("source").agg(F.count("*").alias("n")), f"counts{level}")
+        if (counted.agg(F.max("n")).first()[0] or 0) <= GROUP:
             break
         # Buckets of GROUP on average, then parts of GROUP at most. The seed differs at each level.
-        dealt = todo.join(F.broadcast(counted) if counted.count() < 100_000 else counted, todo["source"].eqNullSafe(counted["source"])).drop(counted["source"])
-        dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + level), "doc", "rn"), F.ceil(F.col("n") / GROUP)))
-        # Long documents come first: the shorter ones after them make them integral, so that a short one is left.
+        dealt = same(todo, counted).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + level), "doc", "rn"), F.ceil(F.col("n") / GROUP)))
         order = Window.partitionBy("source", "bucket").orderBy(F.desc("size"), "doc", "rn")
         dealt = dealt.withColumn("part", F.floor((F.row_number().over(order) - 1) / GROUP))
-        folded = dealt.groupBy("source", "bucket", "part").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("shorter"), "doc", "rn", "size", "p"))).alias("x"))
-        units_ = F.transform("x", lambda u: F.struct(u["doc"].alias("doc"), u["rn"].alias("rn"), u["size"].alias("size"), u["p"].alias("p")))
-        folded = folded.select("source", _fold(units_, F.lit(seed + 1000 + level)).alias("f"))
-        folded = scratch.write(folded.select("source", F.inline(F.concat("f.done", F.array("f.at")))), f"level{level}")
-        whole = F.col("p").isin(0.0, 1.0)
+        folded = fold(dealt, ["source", "bucket", "part"], f"level{level}")
         done = folded.where(whole)
         decided = done if decided is None else decided.unionByName(done)
         todo, level = folded.where(~whole), level + 1
+    folded = fold(todo.unionByName(reserve), ["source"], "last")
+    done, todo = folded.where(whole), folded.where(~whole)
+    decided = done if decided is None else decided.unionByName(done)
     last = todo.withColumn("p", F.when(_draw("doc", "rn", seed=seed + 2000) < F.col("p"), 1.0).otherwise(0.0))
-    return (last if decided is None else decided.unionByName(last)).select("source", "doc", "rn", "p")
+    return decided.unionByName(last).select("source", "doc", "rn", "p")
 
 
 def mix(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most_copies: int = 2, seed: int = 0) -> DataFrame:
