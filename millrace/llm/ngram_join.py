@@ -314,20 +314,23 @@ def links(nodes: DataFrame, docs: DataFrame, text: str, j: Jaccard, scratch: Scr
         turn += 1
 
     # The rest, whole: pairs of different components that share enough of their prefixes.
-    signed = at.join(nodes.select(F.col("node").alias("m"), "sign"), F.col("node") == F.col("m")).drop("m")
-    one, two = (signed.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("comp", "node", "n", "l", "pos")], *[F.col("sign")[i].alias(f"s{k}{i}") for i in range(SIGN)]) for k in (1, 2))
     # Of each list, the pairs of components that can hold a pair of nodes: by the best slack and the least size.
     # The one with fewer members in the list comes first, so that a large component isn't copied for each other one.
     lists = at.groupBy("token", "comp").agg(F.max(F.col("n") - F.col("pos") + F.col("l")).alias("slack"), F.min("n").alias("n"), F.count("*").alias("m"))
     left, right = (lists.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("comp", "slack", "n", "m")]) for k in (1, 2))
     fewer = (F.col("m1") < F.col("m2")) | ((F.col("m1") == F.col("m2")) & (F.col("comp1") < F.col("comp2")))
-    sides = left.join(right, "token").where(fewer & (F.least("slack1", "slack2") > needed(F.col("n1"), F.col("n2"), j))).select("token", "comp1", "comp2")
+    # Pairs of components with one member each in the list are met at once, below.
+    sides = left.join(right, "token").where(fewer & (F.col("m2") > 1) & (F.least("slack1", "slack2") > needed(F.col("n1"), F.col("n2"), j))).select("token", "comp1", "comp2")
+    signed = at.join(nodes.select(F.col("node").alias("i"), "sign"), F.col("node") == F.col("i")).join(lists.select("token", "comp", "m"), ["token", "comp"])
+    one, two = (signed.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("comp", "node", "n", "l", "pos", "m")], *[F.col("sign")[i].alias(f"s{k}{i}") for i in range(SIGN)]) for k in (1, 2))
     least, l = needed(F.col("n1"), F.col("n2"), j), F.least("l1", "l2")
     # What lies before and behind a shared token bounds what two sets share, as their bitmaps do.
     room = F.least("pos1", "pos2") + 1 + F.least(F.col("n1") - F.col("pos1") - 1, F.col("n2") - F.col("pos2") - 1) >= least
     apart = sum((F.bit_count(F.col(f"s1{i}").bitwiseXOR(F.col(f"s2{i}"))) for i in range(SIGN)), F.lit(0))
     fits = in_prefix(F.col("n1"), F.col("pos1"), least, l) & in_prefix(F.col("n2"), F.col("pos2"), least, l) & room & (F.col("n1") + F.col("n2") - apart >= 2 * least)
-    met = sides.join(one, ["token", "comp1"]).join(two, ["token", "comp2"]).where(fits)
+    met = sides.join(one.drop("m1"), ["token", "comp1"]).join(two.drop("m2"), ["token", "comp2"]).where(fits).select("node1", "node2", "l1", "l2")
+    alone = one.where("m1 = 1").join(two.where("m2 = 1"), "token").where((F.col("comp1") < F.col("comp2")) & fits).select("node1", "node2", "l1", "l2")
+    met = met.union(alone).withColumns({"x": F.least("node1", "node2"), "y": F.greatest("node1", "node2"), "l": F.least("l1", "l2")}).select(F.col("x").alias("node1"), F.col("y").alias("node2"), F.col("l").alias("l1"), F.col("l").alias("l2"))
     met = met.groupBy("node1", "node2").agg(F.count("*").alias("hits"), *[F.first(c).alias(c) for c in ("l1", "l2")])
     met = met.where(F.col("hits") >= F.least("l1", "l2")).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
     pairs = scratch.write(met.join(tried, ["a", "b"], "left_anti"), "pairs")
