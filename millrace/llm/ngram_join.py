@@ -330,9 +330,9 @@ def links(nodes: DataFrame, docs: DataFrame, text: str, j: Jaccard, scratch: Scr
     fits = in_prefix(F.col("n1"), F.col("pos1"), least, l) & in_prefix(F.col("n2"), F.col("pos2"), least, l) & room & (F.col("n1") + F.col("n2") - apart >= 2 * least)
     met = sides.join(one.drop("m1"), ["token", "comp1"]).join(two.drop("m2"), ["token", "comp2"]).where(fits).select("node1", "node2", "l1", "l2")
     alone = one.where("m1 = 1").join(two.where("m2 = 1"), "token").where((F.col("comp1") < F.col("comp2")) & fits).select("node1", "node2", "l1", "l2")
-    met = met.union(alone).withColumns({"x": F.least("node1", "node2"), "y": F.greatest("node1", "node2"), "l": F.least("l1", "l2")}).select(F.col("x").alias("node1"), F.col("y").alias("node2"), F.col("l").alias("l1"), F.col("l").alias("l2"))
-    met = met.groupBy("node1", "node2").agg(F.count("*").alias("hits"), *[F.first(c).alias(c) for c in ("l1", "l2")])
-    met = met.where(F.col("hits") >= F.least("l1", "l2")).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
+    # A pair may be met either way round.
+    met = met.union(alone).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"), F.least("l1", "l2").alias("l"))
+    met = met.groupBy("a", "b", "l").agg(F.count("*").alias("hits")).where("hits >= l").select("a", "b")
     pairs = scratch.write(met.join(tried, ["a", "b"], "left_anti"), "pairs")
     return edges.union(verified(pairs, nodes, docs, text, j, scratch))
 
