@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontam import find_matches
+from .hard_negatives import hard_negatives
 from .line_dedup import drop_common_lines
 from .lm_pst import score_texts
 from .mixing import mix
@@ -15,7 +16,9 @@ from .pii import find_personal_data
 from .quality import compression_bands
 from .secrets import KINDS, find_secrets, joined
 from .tool_calls import link_tool_calls
+from .toxicity import score_toxicity
 from .url_filter import judge_urls
+from .whitening import whiten
 
 
 def op1_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +75,20 @@ def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op11_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), scale=64, shift=1_000_000, components=16)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids divisible by 7 are moved on by one first, as if mislabelled."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END").alias("label"))
+    return hard_negatives(rows, anchor=F.col("id") % 50 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,5 +102,8 @@ QUERIES = {
         op8_suffix_decontamination,
         op9_ngram_jaccard,
         op10_pivotal_mixing,
+        op11_boosted_toxicity,
+        op12_embedding_whitening,
+        op13_hard_negatives,
     )
 }
