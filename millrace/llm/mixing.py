@@ -11,16 +11,17 @@ and mass moves between their probabilities at the rate of their sizes (the expec
 words of the pair stay as they are) until one of the two is 0 or 1; which way is random,
 with odds that keep every document's expectation. One fractional document is left of
 each fold, and the folds form a reduction tree: GROUP fractions are folded in one group,
-the residuals again, until GROUP are left of each source. A long document is mostly what a
-fold leaves, so about RESERVE documents of each source, drawn by hash, wait for the last
-group: there the residuals come first and shorter and shorter documents after them, which
-take up what the long ones lack, and the one that is left, and drawn, is short. A source's
-words miss its target by less than that document.
+the residuals again, until GROUP are left of each source; every source goes through one level at
+least. A long document is mostly what a fold leaves, so some wait for the last group, in
+which the longest comes first and shorter and shorter ones after it take up what it
+lacks, so that the one that is left, and drawn, is mostly short: documents of a LONG-th of their source's
+words or more (LONG at most), and, drawn by hash, a quarter of the others, about RESERVE at most. A source's
+words miss its target by less than the document that is left.
 
 Plan: only (id, size, source) is shuffled, never the text. A hot source is dealt over
-many groups, so no group holds more than GROUP rows, or GROUP and about RESERVE in a
-source's last one, and the number of levels is the logarithm of the source's documents. All randomness is a hash of ids and
-the level: reruns agree.
+many groups, so no group holds more than GROUP rows, or GROUP, LONG and about RESERVE in a
+source's last one, and the number of levels is the logarithm of the source's documents. All
+randomness is a hash of ids and the level: reruns agree.
 
 Defined results: a null text has size 0; a document of size 0 is taken 0 times. A null
 source is a source of its own, the last one. Equal rows are told apart by a row number
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, word_count
 
-#: Fractions in a group of the tree, and of a source about that are kept for its last group.
-GROUP, RESERVE = 64, 1024
+#: Fractions in a group of the tree; long documents, and others at most, that a source keeps for its last group.
+GROUP, LONG, RESERVE = 16, 64, 256
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most_copies: int = 2) -> DataFrame:
@@ -93,8 +94,8 @@ def pivotal_round(units: DataFrame, scratch: Scratch, seed: int = 0) -> DataFram
     """
     keys = ["source", "doc", "rn", "size", "p"]
     same = lambda df, n: df.join(F.broadcast(n) if n.count() < 100_000 else n, df["source"].eqNullSafe(n["source"])).drop(n["source"])
-    units = same(units.select(*keys), units.groupBy("source").agg(F.count("*").alias("all")))
-    kept = _draw("doc", "rn", seed=seed + 3000) * F.col("all") < RESERVE
+    units = same(units.select(*keys), units.groupBy("source").agg(F.count("*").alias("all"), F.sum("size").alias("words")))
+    kept = (F.col("size") * LONG >= F.col("words")) | (_draw("doc", "rn", seed=seed + 3000) < F.least(F.lit(0.25), RESERVE / F.col("all")))
     reserve, todo = units.where(kept).select(*keys), units.where(~kept).select(*keys)
     decided, level = None, 0
 
@@ -108,7 +109,7 @@ def pivotal_round(units: DataFrame, scratch: Scratch, seed: int = 0) -> DataFram
     whole = F.col("p").isin(0.0, 1.0)
     while True:
         counted = scratch.write(todo.groupBy("source").agg(F.count("*").alias("n")), f"counts{level}")
-        if (counted.agg(F.max("n")).first()[0] or 0) <= GROUP:
+        if (counted.agg(F.max("n")).first()[0] or 0) <= (GROUP if level else 0):
             break
         # Buckets of GROUP on average, then parts of GROUP at most. The seed differs at each level.
         dealt = same(todo, counted).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + level), "doc", "rn"), F.ceil(F.col("n") / GROUP)))

@@ -60,7 +60,7 @@ class Bands:
         (4096, 1.93, 5.0),
         (4097, 1.94, 5.5),
         (8192, 1.95, 5.5),
-        (16384, 1.25, 5.5),  # here the chunks' low limits decide
+        (16384, 1.97, 5.5),
         (float("inf"), 2.00, 6.5),
     )
     #: Low limits of texts with this part of bytes beyond ASCII: letters of 2 or 3 bytes, which no base64 or hex has.

@@ -303,7 +303,27 @@ def test_compression_rejects_both_ends():
     prose = " ".join("".join(rng.choices(letters[:12], k=rng.randint(2, 8))) for _ in range(3000))
     assert not brute_quality(noise)[5] and brute_quality(prose)[6]
     assert not brute_quality("\n".join(f"item {k} costs nothing at all today in the shop by the sea" for k in range(900)))[6]
-    assert bands.holds(len(noise), 1.31) and not bands.holds(len(noise), 1.0)
+    assert not bands.holds(len(noise), 1.31) and bands.holds(len(noise), 2.2)  # base64 of this length is below its band, prose in it
+
+
+def test_low_limits_never_fall_with_length_and_judge_half_base64_alike():
+    import base64
+    import random
+
+    from millrace.llm.quality import measure
+
+    lows = [low for _, low, _ in Bands().whole]
+    assert lows == sorted(lows)
+    zstd = zstandard.ZstdCompressor(level=3)
+    for length in (6_000, 7_900, 8_300, 9_000, 12_000, 16_000):
+        for seed in range(5):
+            rng = random.Random(1000 * seed + length)
+            words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(400)]
+            prose = " ".join(rng.choices(words, k=length))[: length // 2]
+            dump = base64.b64encode(rng.randbytes(length)).decode()
+            text = f"{prose}\n" + "\n".join(dump[i : i + 40] for i in range(0, length // 2, 41))
+            found = measure(text.encode()[:length], Bands(), zstd)
+            assert not found[5] and not found[-1], (length, seed, found)
 
 
 @pytest.mark.parametrize("length", [3_200, 4_096, 4_500, 6_000, 9_000, 12_199, 16_000, 20_000, 70_000, 330_000])
