@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from ..functions import scalar, udfs
-from ..operators import relational, windows
+from ..operators import intervals, relational, windows
 from ..sources import sinks
-from ..streaming import events
+from ..streaming import events, funnel, upsert
 
-QUERIES = {name: f for module in (relational, windows, scalar, udfs, sinks, events) for name, f in sorted(vars(module).items()) if name.startswith("c") and name[1:3].isdigit()}
+QUERIES = {name: f for module in (relational, windows, intervals, scalar, udfs, sinks, events, funnel, upsert) for name, f in sorted(vars(module).items()) if name.startswith("c") and name[1:3].isdigit()}
 
 _TUMBLING = "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL"
 _SESSIONS = """
@@ -116,4 +116,21 @@ SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS protocol, regexp_extra
     "c50_csv_pages": r"""SELECT page_id, url, html, CASE WHEN page_id % 2 = 0 THEN '' WHEN page_id % 3 = 0 THEN '\ "a", ' || chr(13) || chr(10) || ' b' END AS note FROM pages""",
     "c50_json_events": "SELECT * FROM events",
     "c50_parquet_lineitem": "SELECT l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_linestatus",
+    "c51_session_overlap": """
+WITH e AS (SELECT user_id, event_type, epoch_us(ts) AS us FROM events WHERE event_type IN ('view', 'click')),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id, event_type ORDER BY us) AS run
+  FROM (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id, event_type ORDER BY us) < 86400000000 THEN 0 ELSE 1 END AS new FROM e)),
+s AS (SELECT user_id, event_type, min(us) AS f, max(us) AS l, count(*) AS n FROM r GROUP BY user_id, event_type, run)
+SELECT v.user_id, v.f AS view_first, v.l AS view_last, v.n AS view_n, c.f AS click_first, c.l AS click_last, c.n AS click_n
+FROM s v JOIN s c ON v.user_id = c.user_id AND v.f <= c.l AND c.f <= v.l WHERE v.event_type = 'view' AND c.event_type = 'click'""",
+    "c52_funnel": """
+WITH e AS (SELECT user_id, event_type, epoch_us(ts) AS us FROM events),
+v AS (SELECT user_id, us AS view_us, lead(us) OVER w AS next_us, row_number() OVER w AS n_views FROM e WHERE event_type = 'view' WINDOW w AS (PARTITION BY user_id ORDER BY us)),
+c AS (SELECT v.*, min(e.us) AS click_us FROM v JOIN e ON e.user_id = v.user_id AND e.event_type = 'click' AND e.us > view_us AND (next_us IS NULL OR e.us < next_us) GROUP BY ALL),
+b AS (SELECT c.*, min(e.us) AS buy_us FROM c JOIN e ON e.user_id = c.user_id AND e.event_type = 'purchase' AND e.us > click_us AND (next_us IS NULL OR e.us < next_us) GROUP BY ALL)
+SELECT user_id, view_us, click_us, buy_us, n_views FROM b
+WHERE buy_us - view_us <= 604800000000 AND (buy_us + 999) // 1000 <= (SELECT max(us) // 1000 - 600000 FROM e)""",
+    "c53_upsert": """
+SELECT user_id, ts, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+WHERE rn = 1 AND event_type <> 'error'""",
 }

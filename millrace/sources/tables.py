@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,3 +23,8 @@ def shared_folder(spark: SparkSession, label: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/millrace-{label}-{uuid.uuid4().hex}"
+
+
+def ship_by_value(module: str) -> None:
+    """Send classes of a module to Python workers as they are here, not by name: some workers don't get what spark.sparkContext.addPyFile ships."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
