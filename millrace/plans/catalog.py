@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from ..functions import scalar, udfs
+from ..functions import scalar, table_functions, udfs
 from ..operators import intervals, relational, windows
-from ..sources import sinks
+from ..sources import range_files, sinks
 from ..streaming import events, funnel, upsert
 
-QUERIES = {name: f for module in (relational, windows, intervals, scalar, udfs, sinks, events, funnel, upsert) for name, f in sorted(vars(module).items()) if name.startswith("c") and name[1:3].isdigit()}
+QUERIES = {name: f for module in (relational, windows, intervals, scalar, udfs, table_functions, sinks, range_files, events, funnel, upsert) for name, f in sorted(vars(module).items()) if name.startswith("c") and name[1:3].isdigit()}
 
 _TUMBLING = "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL"
 _SESSIONS = """
@@ -133,4 +133,13 @@ WHERE buy_us - view_us <= 604800000000 AND (buy_us + 999) // 1000 <= (SELECT max
     "c53_upsert": """
 SELECT user_id, ts, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
 WHERE rn = 1 AND event_type <> 'error'""",
+    "c54_session_summary": """
+SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS sum_event_id, max(event_id) AS max_event_id, CAST(sum(cents) AS BIGINT) AS sum_cents, max(cents) AS max_cents
+FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents,
+  CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '86400 seconds' THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, run""",
+    "c54_session_batches": """
+SELECT user_id, min(us) AS first, max(us) AS last, count(*) AS n
+FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us) AS run FROM (SELECT user_id, epoch_us(ts) AS us,
+  CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 86400000000 THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, run""",
+    "c55_range_files": "SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-07-01'",
 }
