@@ -203,8 +203,3 @@ def c25_except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     rest = lines.select("l_linenumber").exceptAll(lines.where("l_returnflag = 'A'").select("l_linenumber"))
     return rest.groupBy("l_linenumber").agg(F.count("*").alias("n"))
-
-
-def c32_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Factorials and Fibonacci numbers from a recursive query; it reads no table."""
-    return spark.sql("WITH RECURSIVE t(n, a, b, f) AS (SELECT 1, 0L, 1L, 1L UNION ALL SELECT n + 1, b, a + b, f * (n + 1) FROM t WHERE n < 15) SELECT n, a AS fib, f AS factorial FROM t")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from ..functions import scalar, table_functions, udfs
-from ..operators import intervals, relational, windows
+from ..operators import intervals, recursion, relational, skew, vectors, windows
 from ..sources import range_files, sinks
 from ..streaming import events, funnel, upsert
 
-QUERIES = {name: f for module in (relational, windows, intervals, scalar, udfs, table_functions, sinks, range_files, events, funnel, upsert) for name, f in sorted(vars(module).items()) if name.startswith("c") and name[1:3].isdigit()}
+QUERIES = {name: f for module in (relational, windows, intervals, recursion, skew, vectors, scalar, udfs, table_functions, sinks, range_files, events, funnel, upsert) for name, f in sorted(vars(module).items()) if name.startswith("c") and name[1:3].isdigit()}
 
 _TUMBLING = "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL"
 _SESSIONS = """
@@ -95,7 +95,14 @@ SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_ex
     "c31_urls": r"""
 SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS protocol, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path,
   CASE WHEN contains(url, '?') THEN regexp_extract(url, '\?([^#]*)', 1) END AS query FROM pages""",
-    "c32_recursion": "WITH RECURSIVE t(n, a, b, f) AS (SELECT 1, 0::BIGINT, 1::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, b, a + b, f * (n + 1) FROM t WHERE n < 15) SELECT n, a AS fib, f AS factorial FROM t",
+    "c32_recursion": """
+WITH RECURSIVE pairs AS (SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 48 AND l_discount >= 0.08),
+links AS (SELECT a AS src, b AS dst FROM pairs UNION SELECT b, a FROM pairs),
+reach(node, hops) USING KEY (node) AS (
+  SELECT 's' || s_suppkey, 0 FROM supplier WHERE s_nationkey < 5
+  UNION
+  SELECT dst, min(reach.hops) + 1 FROM reach JOIN links ON src = node WHERE dst NOT IN (SELECT node FROM recurring.reach) GROUP BY dst)
+SELECT node, CAST(hops AS INTEGER) AS hops FROM reach""",
     "c33_tumbling": _TUMBLING,
     "c34_sliding": "SELECT start, count(*) AS n FROM (SELECT time_bucket(INTERVAL '1 hour', ts) - k * INTERVAL '1 hour' AS start FROM events, range(2) r(k)) GROUP BY start",
     "c35_session": f"SELECT user_id, start, n FROM ({_SESSIONS})",
@@ -142,4 +149,11 @@ SELECT user_id, min(us) AS first, max(us) AS last, count(*) AS n
 FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us) AS run FROM (SELECT user_id, epoch_us(ts) AS us,
   CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 86400000000 THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, run""",
     "c55_range_files": "SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-07-01'",
+    "c56_skew_join": """
+SELECT s_nationkey, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity
+FROM (SELECT CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE l_suppkey END AS suppkey, l_quantity FROM lineitem) JOIN supplier ON suppkey = s_suppkey GROUP BY s_nationkey""",
+    "c57_nearest_vectors": """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+d AS (SELECT q.vec_id AS query, v.vec_id AS id, round(list_distance(q.x, v.x), 6) AS distance FROM v q, v WHERE q.vec_id % 50 = 0)
+SELECT query, CAST(rank AS INTEGER) AS rank, id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS rank FROM d) WHERE rank <= 10""",
 }
