@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from ..functions import scalar, table_functions, udfs
-from ..operators import intervals, recursion, relational, skew, vectors, windows
+from ..operators import intervals, recursion, relational, sequences, skew, vectors, windows
 from ..sources import range_files, sinks
 from ..streaming import events, funnel, upsert
 
-QUERIES = {name: f for module in (relational, windows, intervals, recursion, skew, vectors, scalar, udfs, table_functions, sinks, range_files, events, funnel, upsert) for name, f in sorted(vars(module).items()) if name.startswith("c") and name[1:3].isdigit()}
+QUERIES = {name: f for module in (relational, windows, intervals, recursion, skew, vectors, sequences, scalar, udfs, table_functions, sinks, range_files, events, funnel, upsert) for name, f in sorted(vars(module).items()) if name.startswith("c") and name[1:3].isdigit()}
 
 _TUMBLING = "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL"
 _SESSIONS = """
@@ -156,4 +156,18 @@ FROM (SELECT CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE l_suppkey END AS suppkey,
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
 d AS (SELECT q.vec_id AS query, v.vec_id AS id, round(list_distance(q.x, v.x), 6) AS distance FROM v q, v WHERE q.vec_id % 50 = 0)
 SELECT query, CAST(rank AS INTEGER) AS rank, id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS rank FROM d) WHERE rank <= 10""",
+    "c58_event_sequence": """
+WITH e AS (SELECT user_id, epoch_us(ts) AS us, event_id, event_type,
+  lead(event_type) OVER w AS t1, lead(event_type, 2) OVER w AS t2, lead(epoch_us(ts), 2) OVER w AS end_us, row_number() OVER w AS rn,
+  sum(CASE WHEN event_type = 'view' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS others FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ends AS (SELECT user_id, others, rn, end_us FROM e WHERE event_type = 'view' AND t1 = 'click' AND t2 = 'purchase')
+SELECT ends.user_id, min(e.us) AS first, ends.end_us AS last, count(*) + 2 AS n FROM ends JOIN e
+  ON e.user_id = ends.user_id AND e.event_type = 'view' AND e.others = ends.others AND e.rn <= ends.rn AND ends.end_us - e.us <= 172800000000 GROUP BY ends.user_id, ends.rn, ends.end_us""",
+    "c59_gap_filling": """
+WITH m AS (SELECT event_type, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS t_s, floor(CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / count(*)) AS mean FROM events GROUP BY ALL),
+g AS (SELECT event_type, unnest(range(lo, hi + 1, 3600)) AS t_s FROM (SELECT event_type, min(t_s) AS lo, max(t_s) AS hi FROM m GROUP BY event_type)),
+j AS (SELECT g.event_type, g.t_s, m.mean, CASE WHEN m.mean IS NOT NULL THEN g.t_s END AS known FROM g LEFT JOIN m ON m.event_type = g.event_type AND m.t_s = g.t_s),
+f AS (SELECT *, last_value(mean IGNORE NULLS) OVER b AS filled, last_value(known IGNORE NULLS) OVER b AS a_at, first_value(mean IGNORE NULLS) OVER a AS next_mean, first_value(known IGNORE NULLS) OVER a AS b_at FROM j
+  WINDOW b AS (PARTITION BY event_type ORDER BY t_s ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY event_type ORDER BY t_s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT event_type, t_s, mean, filled, round(CASE WHEN mean IS NOT NULL THEN mean ELSE filled + (next_mean - filled) * ((t_s - a_at) / (b_at - a_at)) END, 6) AS linear FROM f""",
 }
