@@ -1,4 +1,4 @@
-"""User-defined functions: Arrow batches only, never a row at a time."""
+"""User-defined functions over Arrow batches; the table function alone is called once a row, with Arrow as its transport."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,21 @@ def c42_pandas_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", charge("l_extendedprice", "l_discount", "l_tax").alias("charge"))
 
 
+def c42_arrow_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrow arrays in and out, without pandas between."""
+
+    @F.arrow_udf("long")
+    def check_digits(price: pa.Array) -> pa.Array:
+        cents = pc.cast(pc.round(pc.multiply(price, 100)), pa.int64())
+        return pc.subtract(cents, pc.multiply(pc.divide(cents, 97), 97))
+
+    @F.arrow_udf("string")
+    def upper(x: pa.Array) -> pa.Array:
+        return pc.utf8_upper(x)
+
+    return table(spark, sf_dir, "orders").select("o_orderkey", check_digits("o_totalprice").alias("check_digits"), upper("o_orderpriority").alias("priority"))
+
+
 def c43_grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each order in its customer's total; a customer's orders are a small group."""
 

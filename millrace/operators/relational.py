@@ -67,17 +67,25 @@ def c07_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(labels, docs["doc_id"] == labels["label_id"], "left_anti")
 
 
-def c08_range_join(spark: SparkSession, sf_dir: str, width: int = 10) -> DataFrame:
-    """Parts and customers whose price and balance differ by at most 5.
+def c08_range_join(spark: SparkSession, sf_dir: str, band: int = 500, bucket: int = 64) -> DataFrame:
+    """Parts and customers whose price and balance differ by at most 5: how many customers, and the first.
 
-    Both sides are dealt to buckets of the range (one side to the neighbours too), which
-    makes an equi-join of what would be a nested loop. A bucket is as wide as the band, so
-    that about two thirds of what meets is in it.
+    Amounts are whole cents. Customers are summed by cent, and the cents by bucket, before
+    anything is joined; a part looks up the buckets that lie within its band, and the cents at the two
+    ends of it. So a part meets about band / bucket + bucket sums, however many customers
+    a range has, and no pair is built. Where pairs are wanted, overlap_join() gives them.
     """
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", F.explode(F.sequence(F.floor((F.col("p_retailprice") - 5) / width), F.floor((F.col("p_retailprice") + 5) / width))).alias("bucket"))
-    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.floor(F.col("c_acctbal") / width).alias("bucket"))
-    near = (F.col("c_acctbal") >= F.col("p_retailprice") - 5) & (F.col("c_acctbal") <= F.col("p_retailprice") + 5)
-    return part.join(cust, "bucket").where(near).groupBy("p_partkey").agg(F.count("*").alias("n_customers"), F.min("c_custkey").alias("first_customer"))
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    measures = lambda n: [F.sum(n).alias("n"), F.min("first").alias("first")]
+    by_cent = table(spark, sf_dir, "customer").where("c_acctbal is not null").groupBy(cents("c_acctbal").alias("at")).agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
+    by_bucket = by_cent.groupBy(F.floor(F.col("at") / bucket).alias("at")).agg(*measures("n"))
+    sums = by_cent.select(F.lit(0).alias("level"), "at", "n", "first").union(by_bucket.select(F.lit(1), "at", "n", "first"))
+    part = table(spark, sf_dir, "part").where("p_retailprice is not null").select("p_partkey", (cents("p_retailprice") - band).alias("low"), (cents("p_retailprice") + band).alias("high"))
+    # Whole buckets from a to b - 1; cents before a's first and from b's first on. A band is wider than two buckets.
+    a, b = F.ceil(F.col("low") / bucket), F.floor((F.col("high") + 1) / bucket)
+    run = lambda level, first, last: F.transform(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")), lambda x: F.struct(F.lit(level).alias("level"), x.alias("at")))
+    wanted = part.select("p_partkey", F.inline(F.concat(run(1, a, b - 1), run(0, F.col("low"), a * bucket - 1), run(0, b * bucket, F.col("high")))))
+    return wanted.join(sums, ["level", "at"]).groupBy("p_partkey").agg(F.sum("n").alias("n_customers"), F.min("first").alias("first_customer"))
 
 
 def c10_cross_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,25 +147,37 @@ def c16_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.groupingSets([["o_orderstatus"], ["o_orderpriority"], []], "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
 
 
-def c17_percentiles(spark: SparkSession, sf_dir: str, step: float = 1000.0) -> DataFrame:
-    """Exact median and 90th percentile, interpolated, without a group in one task.
+def exact_percentiles(rows: DataFrame, group: str, value: str, asked: dict[str, float], steps: tuple[float, ...] = (1000.0, 1.0)) -> DataFrame:
+    """(group, and a column for each asked share): exact percentiles, interpolated, from counts alone.
 
-    Counts by step of the price tell in which steps the wanted ranks lie; only the rows of
-    those steps are ranked.
+    Counts by the first step tell in which bins the wanted ranks lie; only the rows of these
+    are counted by the next step, and at last by value, so that ties are one count. A window
+    orders the counts of one bin, never rows. Nulls take no part.
     """
-    rows = table(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice", F.floor(F.col("o_totalprice") / step).alias("bin")).where("o_totalprice is not null")
-    group = Window.partitionBy("o_orderpriority")
-    bins = rows.groupBy("o_orderpriority", "bin").agg(F.count("*").alias("n"))
-    bins = bins.withColumns({"before": F.sum("n").over(group.orderBy("bin")) - F.col("n"), "total": F.sum("n").over(group)})
-    asked = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(q).alias("q")) for name, q in (("median", 0.5), ("p90", 0.9))])
-    asked = bins.select("o_orderpriority", "bin", "before", "n", "total", F.inline(asked)).withColumn("rank", F.col("q") * (F.col("total") - 1))
-    holds = lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("n"))
-    asked = asked.where(holds(F.floor("rank")) | holds(F.ceil("rank"))).drop("n")
-    place = Window.partitionBy("o_orderpriority", "bin", "name").orderBy("o_totalprice")
-    found = rows.join(asked, ["o_orderpriority", "bin"]).withColumn("at", F.col("before") + F.row_number().over(place) - 1)
-    found = found.where((F.col("at") == F.floor("rank")) | (F.col("at") == F.ceil("rank"))).groupBy("o_orderpriority", "name").agg(F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), F.first("rank").alias("rank"))
-    value = F.round(F.col("low") + (F.col("high") - F.col("low")) * (F.col("rank") - F.floor("rank")), 4)
-    return found.groupBy("o_orderpriority").agg(*[F.max(F.when(F.col("name") == name, value)).alias(name) for name in ("median", "p90")])
+    rows = rows.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
+    bins = lambda k: F.floor(F.col("v") / steps[k]) if k < len(steps) else F.col("v")
+    total = rows.groupBy("g").agg(F.count("*").alias("total"))
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(q).alias("q")) for name, q in asked.items()])
+    ranks = total.select("g", "total", F.inline(ranks)).withColumn("rank", F.col("q") * (F.col("total") - 1))
+    # The two ranks around each wanted one, as rows; "before" is how many rows lie below the bin at hand.
+    at = ranks.select("g", "name", "rank", F.explode(F.array_distinct(F.array(F.floor("rank"), F.ceil("rank")))).alias("place"), F.lit(0).cast("long").alias("before"), F.lit(None).cast("long").alias("bin"))
+    for k in range(len(steps) + 1):
+        some = rows.withColumn("bin", bins(k - 1) if k else F.lit(None).cast("long")).withColumn("next", bins(k))
+        if k:
+            some = some.join(F.broadcast(at.select(F.col("g").alias("h"), F.col("bin").alias("wanted")).distinct()), F.col("g").eqNullSafe(F.col("h")) & (F.col("bin") == F.col("wanted")), "left_semi")
+        counts = some.groupBy("g", "bin", "next").agg(F.count("*").alias("n"))
+        counts = counts.withColumn("below", F.sum("n").over(Window.partitionBy("g", "bin").orderBy("next")) - F.col("n"))
+        counts = counts.withColumnsRenamed({"g": "h", "bin": "of"})
+        inside = F.col("g").eqNullSafe(F.col("h")) & F.col("bin").eqNullSafe(F.col("of")) & (F.col("place") >= F.col("before") + F.col("below")) & (F.col("place") < F.col("before") + F.col("below") + F.col("n"))
+        at = at.join(counts, inside).select("g", "name", "rank", "place", (F.col("before") + F.col("below")).alias("before"), F.col("next").alias("bin"))
+    found = at.groupBy("g", "name").agg(F.min("bin").alias("low"), F.max("bin").alias("high"), F.first("rank").alias("rank"))
+    result = F.round(F.col("low") + (F.col("high") - F.col("low")) * (F.col("rank") - F.floor("rank")), 4)
+    return found.groupBy(F.col("g").alias(group)).agg(*[F.max(F.when(F.col("name") == name, result)).alias(name) for name in asked])
+
+
+def c17_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median and 90th percentile of the orders' prices by priority."""
+    return exact_percentiles(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", {"median": 0.5, "p90": 0.9})
 
 
 def c18_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,9 @@ SELECT kind, has_doc, has_label, count(*) AS n FROM (
 ) GROUP BY ALL""",
     "c06_semi_join": "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "c07_anti_join": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "c08_range_join": "SELECT p_partkey, count(*) AS n_customers, min(c_custkey) AS first_customer FROM part JOIN customer ON c_acctbal >= p_retailprice - 5 AND c_acctbal <= p_retailprice + 5 GROUP BY p_partkey",
+    "c08_range_join": """
+SELECT p_partkey, count(*) AS n_customers, min(c_custkey) AS first_customer FROM part
+JOIN customer ON CAST(round(c_acctbal * 100) AS BIGINT) BETWEEN CAST(round(p_retailprice * 100) AS BIGINT) - 500 AND CAST(round(p_retailprice * 100) AS BIGINT) + 500 GROUP BY p_partkey""",
     "c09_asof_join": """
 SELECT c.event_id, c.user_id, v.event_id AS view_id, v.ts AS view_ts
 FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF JOIN (SELECT * FROM events WHERE event_type = 'view') v ON c.user_id = v.user_id AND c.ts >= v.ts""",
@@ -113,6 +115,7 @@ SELECT node, CAST(hops AS INTEGER) AS hops FROM reach""",
     "c40_state": "SELECT user_id, count(*) AS n, round(max(value), 4) AS top FROM events GROUP BY user_id",
     "c41_late_rows": "SELECT start, n FROM (SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, count(*) AS n FROM events GROUP BY ALL) WHERE start + INTERVAL '10 minutes' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'",
     "c42_pandas_udf": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT)) * (100 + CAST(round(l_tax * 100) AS BIGINT)) / 1e6 AS charge FROM lineitem",
+    "c42_arrow_udf": "SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) % 97 AS check_digits, upper(o_orderpriority) AS priority FROM orders",
     "c43_grouped_map": "SELECT o_orderkey, round(round(o_totalprice * 100) / sum(round(o_totalprice * 100)) OVER (PARTITION BY o_custkey), 6) AS share FROM orders",
     "c43_partition_map": "SELECT o_orderpriority, count(*) AS n, max(o_custkey) AS top FROM orders GROUP BY o_orderpriority",
     "c44_udtf": "SELECT p_partkey, CAST(pos - 1 AS INTEGER) AS pos, words[pos] AS word FROM (SELECT p_partkey, string_split(p_name, ' ') AS words FROM part), LATERAL (SELECT unnest(range(1, len(words) + 1)) AS pos)",

@@ -46,11 +46,23 @@ def c50_json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "events"), "json", timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
+def dealt(df: DataFrame, column: str, by: str, rows_a_file: int = 1_000_000) -> DataFrame:
+    """df dealt for a write that is partitioned by column: about rows_a_file rows a task, also where a value holds half of all rows.
+
+    The counts by value, one row each, decide how many tasks a value is dealt to, so tasks grow with the rows.
+    """
+    counts = df.groupBy(column).agg(F.count("*").alias("_rows"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_rows") / rows_a_file))
+    tasks = counts.agg(F.sum(parts).cast("long")).first()[0] or 1
+    held = counts.select(F.col(column).alias("_value"), parts.alias("_parts"))
+    some = df.join(held, F.col(column).eqNullSafe(F.col("_value")))
+    return some.repartition(max(1, tasks), column, F.pmod(F.xxhash64(by), F.col("_parts"))).drop("_value", "_parts")
+
+
 def c50_parquet_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A large table dealt by its partition column before it is written, so that a folder gets few files."""
     lines = table(spark, sf_dir, "lineitem")
     path = shared_folder(spark, "lineitem")
-    salt = F.pmod(F.xxhash64("l_orderkey"), F.lit(8))  # a flag may hold half of all rows
-    lines.repartition("l_returnflag", salt).write.partitionBy("l_returnflag").parquet(path)
+    dealt(lines, "l_returnflag", "l_orderkey").write.partitionBy("l_returnflag").parquet(path)
     back = spark.read.schema(lines.schema).parquet(path).where("l_returnflag = 'R'")
     return back.groupBy("l_linestatus").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"))

@@ -89,14 +89,14 @@ def c40_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def late_rows(spark: SparkSession, first: DataFrame, second: DataFrame) -> DataFrame:
-    """Windows of a stream whose second file comes after a run over the first: its rows behind the watermark are dropped.
+    """Windows of a stream whose second part comes after a run over the first: its rows behind the watermark are dropped.
 
     Spark drops by the watermark that the batch before had, so the first run must end, with
-    the empty batch that moves the watermark on, before the second file is there.
+    the empty batch that moves the watermark on, before the second part is there.
     """
     path = shared_folder(spark, "late")
     for part in (first, second):
-        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        part.write.mode("append").parquet(f"{path}/in")  # all files of a run are one batch
         stream = spark.readStream.schema(first.schema).parquet(f"{path}/in").withWatermark("ts", LATE)
         windows = stream.groupBy(F.window("ts", "10 minutes")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
         found = run_now(windows, "late-windows", f"{path}/windows")

@@ -70,3 +70,37 @@ def test_shared_folder_is_asked_for_on_a_cluster():
     for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
         with pytest.raises(ValueError, match="checkpoint"):
             shared_folder(there(master, None), "a")
+
+
+def test_tasks_of_a_partitioned_write_grow_with_its_rows(spark, sf_dir):
+    from millrace.sources.sinks import dealt
+
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    for rows_a_file in (10_000, 1000, 200):
+        tasks = dealt(lines, "l_returnflag", "l_orderkey", rows_a_file)
+        n = sum(-(-r["count"] // rows_a_file) for r in lines.groupBy("l_returnflag").count().collect())
+        assert tasks.rdd.getNumPartitions() == n and tasks.count() == lines.count() and tasks.columns == lines.columns
+
+
+def test_percentiles_with_ties_nulls_and_other_steps(spark):
+    import random
+    import statistics
+
+    from millrace.operators.relational import exact_percentiles
+
+    rng = random.Random(1)
+    rows = [(g, rng.choice([7.25, 7.25, -3.5, round(rng.uniform(-5000, 5000), 2)])) for g in ("a", "b", None) for _ in range(200)] + [("a", None), ("one", 4.5)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for steps in ((1000.0, 1.0), (100.0,), ()):
+        found = {r["g"]: (r["low"], r["mid"]) for r in exact_percentiles(df, "g", "v", {"low": 0.1, "mid": 0.5}, steps).collect()}
+        for g in ("a", "b", None, "one"):
+            x = sorted(v for h, v in rows if h == g and v is not None)
+            at = 0.1 * (len(x) - 1)
+            low = x[int(at)] + (x[min(int(at) + 1, len(x) - 1)] - x[int(at)]) * (at - int(at))
+            assert found[g] == (pytest.approx(low, abs=1e-3), pytest.approx(statistics.median(x), abs=1e-3))
+
+
+def test_range_sums_meet_few_rows(spark, sf_dir):
+    """However many customers have one balance, a part meets a sum for it."""
+    text = QUERIES["c08_range_join"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and text.index("partial_count") > text.index("Join")  # summed below the join
