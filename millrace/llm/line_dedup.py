@@ -7,9 +7,10 @@ with map-side partial steps; lines over the threshold go, the rest is put togeth
 Plan: only hashes, ids and positions are shuffled on the way to the decision. Each
 document sends a key once (array_distinct); pairs are dealt by hash and id, so one line
 in a third of the documents is spread over all tasks and then a partial count, not a group.
-The common lines are written and counted: up to BROADCAST of them are sent out, beyond that
-the join back is salted, so that no salt of the most common line has more than about SPREAD
-documents. The text itself moves once, in the join by document.
+The common lines are written and counted: the most common of them, BROADCAST at most, are
+sent out, so that their rows are never shuffled; where there are more, the others are joined back by their hash,
+and none of these has more documents than a task can read: fewer than SPREAD, or than a power of two times that
+where over BROADCAST lines have as many. Nothing is repeated. The text itself moves once, in the join by document.
 
 Defined results: a null text counts as one empty line and gives an empty text. Empty
 keys never drop. Rows of one id count as one document and those with a null id as none, as in the SQL.
@@ -25,8 +26,8 @@ from .common import SPACES, Scratch, hash128, lower_ascii
 
 #: Common lines that may be broadcast (16 bytes each).
 BROADCAST = 500_000
-#: Documents of a line that one salt holds, about.
-SPREAD = 100_000
+#: Documents of a line whose rows may meet in one task; a power of two.
+SPREAD = 1 << 17
 
 
 def line_key(line: Column) -> Column:
@@ -41,18 +42,28 @@ def common_lines(docs: DataFrame, doc: str, text: str, min_docs: int, min_chars:
     return once.groupBy("h1", "h2").agg(F.count("d").alias("n_docs")).where(F.col("n_docs") >= min_docs)
 
 
+def sent_from(common: DataFrame) -> int:
+    """The documents from which on a common line is broadcast: 0 where all are few enough, else a power of two that BROADCAST lines at most reach."""
+    classes = {r["c"]: r["n"] for r in common.groupBy(F.floor(F.log2("n_docs")).cast("int").alias("c")).agg(F.count("*").alias("n")).collect()}  # 63 rows at most
+    above = lambda c: sum(n for k, n in classes.items() if k >= c)
+    if above(0) <= BROADCAST:
+        return 0
+    return 1 << next(c for c in range(SPREAD.bit_length() - 1, 65) if above(c) <= BROADCAST)
+
+
 def drop_common_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """docs with the text rewritten, and n_lines (before) and n_dropped."""
     common = Scratch(docs.sparkSession, "lines").write(common_lines(docs, doc, text, min_docs, min_chars), "common")
-    n, top = common.agg(F.count("*"), F.max("n_docs")).first()
-    salts = 1 if n <= BROADCAST else -(-top // SPREAD)
+    least = sent_from(common)
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     rows = docs.select(F.col(doc).alias("d"), F.xxhash64(text).alias("t"), F.posexplode(lines).alias("pos", "line")).select("d", "t", "pos", line_key(F.col("line")).alias("key"))
-    rows = rows.where(F.length("key") >= min_chars).select("d", "t", "pos", *hash128(F.col("key"))).withColumn("salt", F.pmod(F.xxhash64("t", "pos"), F.lit(salts).cast("long")))
-    salted = common.select("h1", "h2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    salted = F.broadcast(salted) if n <= BROADCAST else salted  # checked
+    rows = rows.where(F.length("key") >= min_chars).select("d", "t", "pos", *hash128(F.col("key")))
+    sent = F.broadcast(common.where(F.col("n_docs") >= least).select("h1", "h2"))  # checked
+    gone = rows.join(sent, ["h1", "h2"], "left_semi")
+    if least:
+        gone = gone.unionByName(rows.join(sent, ["h1", "h2"], "left_anti").join(common.where(F.col("n_docs") < least), ["h1", "h2"], "left_semi"))
     # A document's dropped positions are bounded by its own lines.
-    dropped = rows.join(salted, ["h1", "h2", "salt"], "left_semi").groupBy("d", "t").agg(F.collect_set("pos").alias("__gone"))
+    dropped = gone.groupBy("d", "t").agg(F.collect_set("pos").alias("__gone"))
     dropped = dropped.withColumnsRenamed({"d": "__d", "t": "__t"})
     whole = docs.join(dropped, F.col(doc).eqNullSafe(F.col("__d")) & (F.xxhash64(text) == F.col("__t")), "left").withColumn("__lines", lines)
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))

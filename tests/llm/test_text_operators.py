@@ -547,3 +547,38 @@ def test_odd_rows_and_empty_tables(spark, operator):
     twins = [r.asDict() for r in rows if r["doc_id"] == 6]
     assert len(twins) == 2 and twins[0] == twins[1]
     assert operator(odd(spark).limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("broadcast,spread", [(0, 1), (2, 1), (2, 64), (500_000, 1 << 17)])
+def test_line_dedup_by_broadcast_and_by_shuffle(spark, monkeypatch, broadcast, spread):
+    from millrace.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "BROADCAST", broadcast)
+    monkeypatch.setattr(line_dedup, "SPREAD", spread)
+    rows = [(k, "\n".join(["in all", *[f"in every {m}" for m in (2, 3, 4, 5) if k % m == 0], f"own {k}", "in all"])) for k in range(60)]
+    rows += [(70, None), (71, ""), (71, "in all")]
+    found = {(r["doc_id"], r["text"], r["n_dropped"]) for r in line_dedup.drop_common_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = set()
+    for k in range(60):
+        kept = [f"in every {m}" for m in (2, 3, 4, 5) if k % m == 0 and 60 // m < 10]
+        want.add((k, "\n".join([*kept, f"own {k}"]), 2 + sum(k % m == 0 and 60 // m >= 10 for m in (2, 3, 4, 5))))
+    assert found == want | {(70, "", 0), (71, "", 0), (71, "", 1)}
+
+
+def test_of_many_common_lines_only_hot_ones_are_sent(spark):
+    """600,000 common lines, one of them in 10^9 documents: that one is broadcast, and no line is repeated."""
+    from millrace.llm.line_dedup import BROADCAST, SPREAD, sent_from
+
+    common = spark.range(600_000).selectExpr("id AS h1", "id AS h2", "IF(id = 7, 1000000000L, 10 + id % 100) AS n_docs")
+    least = sent_from(common)
+    assert least == SPREAD and common.where(F.col("n_docs") >= least).count() == 1
+    assert sent_from(common.limit(BROADCAST)) == 0 and sent_from(common.limit(0)) == 0
+    many = common.selectExpr("h1", "h2", "1000000L AS n_docs")  # more hot lines than may be sent: none is, and a million rows of each meet in a task
+    assert sent_from(many) == 1 << 20
+
+
+def test_rows_of_op2_have_wide_keys(spark):
+    from millrace.llm.tool_calls import _row_key
+
+    rows = spark.range(1000).select("id", _row_key("id").alias("k")).collect()
+    assert len({r["k"] for r in rows}) == len({r["k"].split("_")[0] for r in rows}) == len({r["k"].split("_")[1] for r in rows}) == 1000
