@@ -54,6 +54,11 @@ def _key(*of: str) -> Column:
     return F.xxhash64(*of)
 
 
+def _row_key(*of: str) -> Column:
+    """128 bits of hashes of a whole row, as a string: 64 would collide among 10^12 messages."""
+    return F.concat_ws("_", *[F.xxhash64(F.lit(seed), *of).cast("string") for seed in (1, 2)])
+
+
 def parsed_messages(rows: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     """(conv, turn, role, text, tools, calls, result_of, content): the last four null in plain messages."""
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -154,7 +159,7 @@ def link_tool_calls(rows: DataFrame, conv: str = "conv_id", turn: str = "turn",
     scratch = Scratch(rows.sparkSession, "calls")
     parsed = parsed_messages(rows, conv, turn, role, text)
     plain = F.col("calls").isNull() & F.col("result_of").isNull() & F.col("tools").isNull()
-    special = scratch.write(parsed.where(~plain).withColumn("row", _key("conv", "turn", "role", "text")).dropDuplicates(["conv", "turn", "role", "text"]), "special")
+    special = scratch.write(parsed.where(~plain).withColumn("row", _row_key("conv", "turn", "role", "text")).dropDuplicates(["conv", "turn", "role", "text"]), "special")
 
     declared = special.select("conv", "turn", F.explode("tools").alias("t")).select("conv", "turn", "t.name", canonical(F.coalesce("t.parameters", F.lit("{}"))).alias("json"))
     first = Window.partitionBy("conv", "name").orderBy("turn", "json")
@@ -192,7 +197,7 @@ def link_tool_calls(rows: DataFrame, conv: str = "conv_id", turn: str = "turn",
     extra = by_row.withColumnRenamed("row", "r").join(by_result.withColumnRenamed("row", "r"), "r", "full")
 
     message = lambda **more: F.to_json(F.struct(*[c.alias(k) for k, c in sorted({"conv_id": F.col("conv"), "role": F.col("role"), "turn": F.col("turn"), **more}.items())]), {"ignoreNullFields": "false"})
-    every = parsed.where(~plain).withColumn("row", _key("conv", "turn", "role", "text")).join(extra, F.col("row") == F.col("r"), "left")
+    every = parsed.where(~plain).withColumn("row", _row_key("conv", "turn", "role", "text")).join(extra, F.col("row") == F.col("r"), "left")
     kind = F.when(F.col("calls").isNotNull(), "calls").when(F.col("result_of").isNotNull(), "result").when(F.col("tools").isNotNull(), "tools").otherwise("plain")
     calls_json = F.transform("found", lambda x: x["call"])
     json = (
