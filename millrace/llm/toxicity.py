@@ -8,16 +8,16 @@ the other is learned: words and word beginnings (stems) which texts labelled 1
 have and others don't, each chosen for texts that the terms before it don't explain (so words
 that merely occur beside the telling ones aren't in it). Stems take words that no labelled text has.
 
-Learning uses labelled rows alone, never those held out, and at most about SAMPLE distinct
-texts of each label (a documented bound; which ones is decided by a hash of the text). They
-are dealt to FOLDS by the same hash. The features of a fold come from a lexicon of the other
+Learning uses labelled rows alone, never those held out, and the distinct texts of about SAMPLE
+ids of each label at most (a documented bound; which ones is decided by a hash of the id). They
+are dealt to FOLDS by a hash of the text. The features of a fold come from a lexicon of the other
 folds, so that the trees learn how far a lexicon holds beyond its own texts; all folds but the last
 teach the trees, and the last, which they haven't seen, the isotonic curve. Documents are
 scored with the lexicon of all folds. Texts weigh by the share that the sample took of their
 label, so that scores are probabilities in the corpus.
 
-Plan: labels are joined to documents by id; distinct texts meet by hash; terms are counted
-in the tasks before they are shuffled. The trees and the curve are Spark's own
+Plan: the ids of the sample are broadcast (its bound) to the documents; the sample's equal texts meet by
+hash; terms are counted in the tasks before they are shuffled. The trees and the curve are Spark's own
 (GBTClassifier, IsotonicRegression), fit on a written table of features; scoring is one
 map over the documents and Spark's model transforms, without a shuffle. The lexicon, at most
 MOST_TERMS terms, and the trees are what tasks receive.
@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, hash128, ready_for_python, slices
 
-#: Distinct labelled texts of each label that are learned from, about.
+#: Labelled ids of each label that are learned from, about.
 SAMPLE = 6000
 #: Terms of the learned lexicon at most; texts of label 1 that must have a term; its least log-odds and least log-likelihood ratio.
 MOST_TERMS, LEAST_TEXTS, LEAST_ODDS, LEAST_RATIO = 500, 3, 1.5, 9.0
@@ -187,20 +187,18 @@ def held_out(id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, size: int, scratch: Scratch) -> DataFrame:
-    """(text, y, fold, weight) of about size distinct texts of each label; docs (id, text), labels (id, y)."""
-    named = labels.where("y in (0, 1)").groupBy("id").agg(F.max("y").alias("y")).where(~held_out(F.col("id")))
-    there = scratch.write(docs.join(named, "id").select("y", "text", *hash128(F.col("text"))).where("text is not null"), "labelled")
-    one = scratch.write(there.groupBy("h1", "h2").agg(F.max("y").alias("y")), "texts")
-    counts = {r["y"]: r["n"] for r in one.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
-    draw = (F.pmod(F.col("h2"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    share = lambda y: min(1.0, size / counts[y]) if counts.get(y) else 1.0
-    chosen = one.where(F.when(F.col("y") == 1, draw < share(1)).otherwise(draw < share(0)))
+    """(text, y, fold, weight): the distinct texts of about size labelled ids of each label; docs (id, text), labels (id, y)."""
+    named = labels.where("y in (0, 1) and id is not null").groupBy("id").agg(F.max("y").alias("y")).where(~held_out(F.col("id")))
+    counts = {r["y"]: r["n"] for r in named.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
+    draw = (F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    share = {y: min(1.0, size / counts[y]) if counts.get(y) else 1.0 for y in (0, 1)}
+    chosen = named.where(draw < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
+    # About 2 * size ids, so the documents aren't shuffled; only the sample's texts are.
+    there = docs.join(F.broadcast(chosen), "id").where("text is not null").select("y", "text", *hash128(F.col("text")))
+    texts = there.groupBy("h1", "h2").agg(F.first("text").alias("text"), F.max("y").alias("y"))
     fold = F.pmod(F.xxhash64(F.lit(5), "h1", "h2"), F.lit(FOLDS)).cast("int")
-    weight = F.when(F.col("y") == 1, 1 / share(1)).otherwise(1 / share(0))
-    texts = there.select("h1", "h2", "text").join(chosen, ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("text").alias("text"), F.first("y").alias("y"))
-    out = scratch.write(texts.select("text", "y", fold.alias("fold"), weight.alias("weight")), "sample")
-    scratch.drop(there, one)
-    return out
+    weight = F.when(F.col("y") == 1, 1 / share[1]).otherwise(1 / share[0])
+    return scratch.write(texts.select("text", "y", fold.alias("fold"), weight.alias("weight")), "sample")
 
 
 def learn_lexicons(texts: DataFrame, scratch: Scratch) -> list[dict[str, tuple[float, float]]]:
