@@ -582,3 +582,21 @@ def test_rows_of_op2_have_wide_keys(spark):
 
     rows = spark.range(1000).select("id", _row_key("id").alias("k")).collect()
     assert len({r["k"] for r in rows}) == len({r["k"].split("_")[0] for r in rows}) == len({r["k"].split("_")[1] for r in rows}) == 1000
+
+
+def test_sample_of_op4_is_taken_in_the_tasks(spark, sf_dir):
+    """No task sends more than its first examples of each kind, and the first of all are those of a plain sort."""
+    from millrace.llm.pii import O, Field, examples, sample_rows, spark_hash
+
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    hashes = spark.createDataFrame([("",), ("a",), ("é 日本 ß" * 9,), ("x" * 1000,)], "x string").select("x", F.xxhash64("x").alias("h")).collect()
+    assert all(spark_hash(r["x"]) == r["h"] for r in hashes)
+    f = Field(sample_windows=5)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(6)
+    rows = sample_rows(docs, "text", f).withColumn("task", F.spark_partition_id()).collect()
+    per = {}
+    for r in rows:
+        per[r["task"], r["kind"]] = per.get((r["task"], r["kind"]), 0) + 1
+    assert max(per.values()) <= 5 and len({k for _, k in per}) == O + 1
+    all_ = {(spark_hash(x), x) for t in texts if t and any(c.isdigit() or c == "@" for c in t) for x, spans in examples(t, f.sample_tokens) if spans and spans[0][1] == 0}
+    assert {x for _, x in sorted(all_)[:5]} <= {r["x"] for r in rows}
