@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from ..functions import scalar, table_functions, udfs
-from ..operators import intervals, recursion, relational, sequences, skew, vectors, windows
-from ..sources import range_files, sinks
+from ..operators import intervals, recursion, relational, sequences, sketches, skew, vectors, windows
+from ..sources import layout, range_files, sinks
 from ..streaming import events, funnel, upsert
 
-QUERIES = {name: f for module in (relational, windows, intervals, recursion, skew, vectors, sequences, scalar, udfs, table_functions, sinks, range_files, events, funnel, upsert) for name, f in sorted(vars(module).items()) if name.startswith("c") and name[1:3].isdigit()}
+QUERIES = {name: f for module in (relational, windows, intervals, recursion, skew, vectors, sequences, sketches, scalar, udfs, table_functions, sinks, range_files, layout, events, funnel, upsert) for name, f in sorted(vars(module).items()) if name.startswith("c") and name[1:3].isdigit()}
 
 _TUMBLING = "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL"
 _SESSIONS = """
@@ -173,4 +173,10 @@ j AS (SELECT g.event_type, g.t_s, m.mean, CASE WHEN m.mean IS NOT NULL THEN g.t_
 f AS (SELECT *, last_value(mean IGNORE NULLS) OVER b AS filled, last_value(known IGNORE NULLS) OVER b AS a_at, first_value(mean IGNORE NULLS) OVER a AS next_mean, first_value(known IGNORE NULLS) OVER a AS b_at FROM j
   WINDOW b AS (PARTITION BY event_type ORDER BY t_s ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY event_type ORDER BY t_s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT event_type, t_s, mean, filled, round(CASE WHEN mean IS NOT NULL THEN mean ELSE filled + (next_mean - filled) * ((t_s - a_at) / (b_at - a_at)) END, 6) AS linear FROM f""",
+    "c60_sketch_rollup": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_near, true AS median_near FROM events GROUP BY event_type",
+    "c61_bucketed_join": "SELECT o_orderpriority, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderpriority",
+    "c62_replaced_partitions": """
+SELECT CAST(ship_year AS INTEGER) AS ship_year, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity, any_value(orders_of_year) AS orders_of_year
+FROM (SELECT l_orderkey, l_quantity, year(l_shipdate) AS ship_year FROM lineitem) JOIN (SELECT year(o_orderdate) AS y, count(*) AS orders_of_year FROM orders GROUP BY 1) ON ship_year = y
+WHERE y BETWEEN 1996 AND 1998 AND (ship_year <> 1997 OR l_orderkey % 2 = 0) GROUP BY ship_year""",
 }
