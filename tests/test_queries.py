@@ -62,14 +62,14 @@ def test_entry_keeps_the_other_queries_without_a_package():
 def test_shared_folder_is_asked_for_on_a_cluster():
     from types import SimpleNamespace
 
-    from millrace.sources.tables import shared_folder
+    from millrace.sources.tables import folder_name
 
     there = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
-    assert shared_folder(there("yarn", "hdfs://x/"), "a").startswith("hdfs://x/millrace-a-")
-    assert shared_folder(there("local[4]", None), "a")
+    assert folder_name(there("yarn", "hdfs://x/"), "a").startswith("hdfs://x/millrace-a-")
+    assert folder_name(there("local[4]", None), "a")
     for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
         with pytest.raises(ValueError, match="checkpoint"):
-            shared_folder(there(master, None), "a")
+            folder_name(there(master, None), "a")
 
 
 def test_tasks_of_a_partitioned_write_grow_with_its_rows(spark, sf_dir):
@@ -104,3 +104,23 @@ def test_range_sums_meet_few_rows(spark, sf_dir):
     """However many customers have one balance, a part meets a sum for it."""
     text = QUERIES["c08_range_join"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in text and text.index("partial_count") > text.index("Join")  # summed below the join
+
+
+def test_scratch_folders_go_with_the_driver(tmp_path):
+    """A driver of its own writes a table and ends; its folder is gone."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "{tmp_path}/shared").getOrCreate()
+from millrace.sources.tables import shared_folder
+path = shared_folder(spark, "x")
+spark.range(3).write.parquet(path)
+assert spark.read.parquet(path).count() == 3
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=True, timeout=180)
+    assert not [x for x in os.listdir(tmp_path / "shared") if x.startswith("millrace-")]
