@@ -70,7 +70,8 @@ class Scratch:
 
     Uses spark.checkpoint.dir; where that is unset and Spark runs in one process (tests) a
     temporary folder. On a cluster it must be set: other machines don't see local folders.
-    A written table cuts the lineage and survives the loss of an executor.
+    A written table cuts the lineage and survives the loss of an executor. Tables that aren't
+    dropped before, as a result reads them, go when the driver's JVM ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -83,6 +84,10 @@ class Scratch:
             Scratch._local = base
         self.root = f"{base.rstrip('/')}/millrace-{label}-{uuid.uuid4().hex}"
         self.n = 0
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        there.mkdirs(path)
+        there.deleteOnExit(path)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """df, written and read again."""
