@@ -48,39 +48,55 @@ class Funnel(StatefulProcessor):
         self.counts = handle.getMapState("counts", "kind int", "n long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            new = [(int(us), int(kind)) for us, kind in zip(frame["us"], frame["kind"])]
+        new = [(int(us), int(kind)) for frame in rows for us, kind in zip(frame["us"], frame["kind"])]
+        if new:
             self.pending.appendList(new)
-            for ms in {_ms(us) for us, _ in new}:
-                self.handle.registerTimer(ms)
+            self.handle.registerTimer(_ms(min(new)[0]))  # one a batch: the next ones follow when it fires
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        """All that the watermark has passed, with each state read and written once."""
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         waiting = sorted((us, kind) for us, kind in self.pending.get())
         due, later = [e for e in waiting if _ms(e[0]) <= now], [e for e in waiting if _ms(e[0]) > now]
+        before = begun = self.begun.get() if self.begun.exists() else None
+        done = []
         if due:
-            self.pending.put(later) if later else self.pending.clear()
-        done = [row for us, kind in due if (row := self._step(key[0], us, kind))]
-        if self.begun.exists() and _ms(self.begun.get()[0] + self.within_us + 1) <= now:
-            self.begun.clear()  # too late for this view
+            kinds = {kind for _, kind in due} | {0}
+            counts = {kind: self.counts.getValue((kind,))[0] if self.counts.containsKey((kind,)) else 0 for kind in kinds}
+            for us, kind in due:
+                counts[kind] += 1
+                view, click = begun or (None, None)
+                if kind == 0:
+                    begun = (us, None)
+                elif view is not None and us - view > self.within_us:
+                    begun = None
+                elif kind == 1 and view is not None and click is None:
+                    begun = (view, us)
+                elif kind == 2 and click is not None:
+                    done.append((key[0], view, click, us, counts[0]))
+                    begun = None
+            for kind, n in counts.items():
+                if n:
+                    self.counts.updateValue((kind,), (n,))
+            if later:
+                self.pending.put(later)
+                self.handle.registerTimer(_ms(later[0][0]))
+            else:
+                self.pending.clear()
+        if begun is not None and self._end(begun) <= now:
+            begun = None  # too late for this view
+        if begun is None and before is not None:
+            self.begun.clear()
+        elif begun != before:
+            self.begun.update(begun)
+            self.handle.registerTimer(self._end(begun))
         if done:
             yield pd.DataFrame(done, columns=self.names)
 
-    def _step(self, user: int, us: int, kind: int) -> tuple | None:
-        self.counts.updateValue((kind,), (1 + (self.counts.getValue((kind,))[0] if self.counts.containsKey((kind,)) else 0),))
-        view, click = self.begun.get() if self.begun.exists() else (None, None)
-        if kind == 0:
-            self.begun.update((us, None))
-            self.handle.registerTimer(_ms(us + self.within_us + 1))
-        elif view is not None and us - view > self.within_us:
-            self.begun.clear()
-        elif kind == 1 and view is not None and click is None:
-            self.begun.update((view, us))
-        elif kind == 2 and click is not None:
-            self.begun.clear()
-            return user, view, click, us, self.counts.getValue((0,))[0]
-        return None
+    def _end(self, begun: tuple) -> int:
+        """The millisecond from which on nothing can end what has begun."""
+        return _ms(begun[0] + self.within_us + 1)
 
     def close(self) -> None:
         pass
