@@ -18,7 +18,8 @@ Documents are dealt to blocks by hash, blocks of bounded text; each block writes
 each distinct word; the rows of a word are summed, with partial sums; and each block gets
 the counts of its own words back, those of frequent words by a broadcast, the others by a
 join that Spark may split. So what is shuffled is the text, twice, and a row for each word
-and block, twice. Counting a level is a map over the texts with sums per task.
+and block, twice. The training texts are written once as arrays of symbols; counting a level is
+a map over these, whole batches at a time, with sums per task.
 
 Defined results: a null text is empty and has one token, the end. Without training
 documents every count is 0. Rows are scored each by itself, also where ids repeat (rows of
@@ -32,6 +33,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 from math import log, log10, sqrt
 
 import numpy as np
@@ -87,14 +89,18 @@ class Model:
     log_p: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def contexts(self, x: np.ndarray) -> list[np.ndarray]:
-        """By level: the candidate that ends at each position of x, or -1."""
-        out, before = [], None
+        """By level: the candidate that ends at each position of x, or -1. The candidates of the first level are the symbols 1, 2, ..."""
+        out: list[np.ndarray] = []
         for level, path in enumerate(self.paths):
-            code = x.astype(np.int64) if level == 0 else np.full(len(x), -1, np.int64)
-            if level:
-                code[1:] = np.where(before[:-1] >= 0, before[:-1] * self.base + x[1:], -1)
-            at = np.minimum(np.searchsorted(path, code), max(len(path) - 1, 0))
-            before = np.where(path[at] == code, at, -1) if len(path) else np.full(len(x), -1, np.int64)
+            if level == 0:
+                before = np.where((x >= 1) & (x <= len(path)), x - 1, -1)
+            else:  # only where the level before has a candidate
+                at = np.flatnonzero(out[-1][:-1] >= 0) + 1
+                code = out[-1][at - 1] * self.base + x[at]
+                place = np.searchsorted(path, code)
+                hit = path[np.minimum(place, len(path) - 1)] == code
+                before = np.full(len(x), -1, np.int64)
+                before[at[hit]] = place[hit]
             out.append(before)
         return out
 
@@ -102,26 +108,31 @@ class Model:
         """The node of the longest retained context before each position of x."""
         state = np.zeros(len(x), np.int64)
         for at, nodes in zip(self.contexts(x), self.nodes):
-            node = np.where(at >= 0, nodes[at], 0)[:-1] if len(nodes) else np.zeros(len(x) - 1, np.int64)
-            state[1:] = np.where(node > 0, node, state[1:])
+            known = np.flatnonzero(at[:-1] >= 0)
+            node = nodes[at[known]]
+            state[known[node > 0] + 1] = node[node > 0]
         return state
 
-    def score(self, x: np.ndarray, root: np.ndarray) -> float:
-        """Log10 probability of the symbols x, whose root log10 probabilities are given."""
+    def scores(self, x: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """Log10 probability of each of the symbols x, whose root log10 probabilities are given. Texts may follow one another, each with its end."""
         parent, rest = np.array(self.parent), np.array(self.log_rest)
-        state, total, left = self.states(x), 0.0, np.arange(len(x))
+        state, out = self.states(x), np.zeros(len(x))
+        out[state == 0] = root[state == 0]
+        left = np.flatnonzero(state)
         while len(left):
-            done = state[left] == 0
-            total += float(root[left[done]].sum())
-            left = left[~done]
             code = state[left] * self.base + x[left]
-            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            hit = self.codes[at] == code if len(self.codes) else np.zeros(len(left), bool)
-            total += float(self.log_p[at[hit]].sum()) if len(self.codes) else 0.0
+            hit = np.zeros(len(left), bool)
+            if len(self.codes):
+                at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+                hit = self.codes[at] == code
+                out[left[hit]] += self.log_p[at[hit]]
             left = left[~hit]
-            total += float(rest[state[left]].sum())
+            out[left] += rest[state[left]]
             state[left] = parent[state[left]]
-        return total
+            done = left[state[left] == 0]
+            out[done] += root[done]
+            left = left[state[left] > 0]
+        return out
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -150,13 +161,26 @@ def word_rows(blocked: DataFrame) -> DataFrame:
     return blocked.groupBy("block").applyInArrow(count, "block long, w binary, n long")
 
 
-def level_counts(docs: DataFrame, model: Model) -> DataFrame:
-    """(code, n): what follows the candidates of the last level; symbol base - 1 has the total."""
-    sent, base = docs.sparkSession.sparkContext.broadcast(model), model.base
+def coded(docs: DataFrame, symbols: dict[bytes, int]) -> DataFrame:
+    """(x): the symbols of each text, so that words are read as text once for all levels."""
+    sent = docs.sparkSession.sparkContext.broadcast(symbols)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = sent.value.get
+        for batch in batches:
+            for part in slices(batch):
+                x = [np.fromiter((get(k, 0) for k in w), np.int32, len(w)) for w in map(tokens, byte_texts(part.column(0)))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int32()))], names=["x"])
+
+    return docs.select("text").mapInArrow(code, "x array<int>")
+
+
+def level_counts(texts: DataFrame, model: Model) -> DataFrame:
+    """(code, n): what follows the candidates of the last level in coded texts; symbol base - 1 has the total."""
+    sent, base = texts.sparkSession.sparkContext.broadcast(model), model.base
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, codes, sums = sent.value, [], []
-        get = model.symbols.get
 
         def compact() -> None:
             u, inverse = np.unique(np.concatenate(codes), return_inverse=True)
@@ -164,23 +188,22 @@ def level_counts(docs: DataFrame, model: Model) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch):
-                for text in byte_texts(part.column(0)):
-                    w = tokens(text)
-                    x = np.fromiter((get(k, 0) for k in w), np.int64, len(w))
-                    at = model.contexts(x)[-1][:-1]
-                    hit = np.flatnonzero(at >= 0)
-                    codes += [at[hit] * base + x[1:][hit], at[hit] * base + base - 1]
-                    sums += [np.ones(len(hit), np.int64)] * 2
+                # Texts one after another: each ends with the end, which no context has, so none goes over to the next.
+                x = part.column(0).flatten().to_numpy().astype(np.int64)
+                at = model.contexts(x)[-1][:-1]
+                hit = np.flatnonzero(at >= 0)
+                codes += [at[hit] * base + x[1:][hit], at[hit] * base + base - 1]
+                sums += [np.ones(len(hit), np.int64)] * 2
                 if sum(map(len, codes)) > 2_000_000:
                     compact()
         if codes:
             compact()
             yield pa.RecordBatch.from_arrays([pa.array(codes[0], pa.int64()), pa.array(sums[0], pa.int64())], names=["code", "n"])
 
-    return docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return texts.select("x").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def grow(docs: DataFrame, frequent: dict[bytes, int], n_all: int, n_types: int, t: Tree) -> Model:
+def grow(docs: DataFrame, frequent: dict[bytes, int], n_all: int, n_types: int, t: Tree, scratch: Scratch) -> Model:
     """The tree. frequent: the words of context_count or more, and the end, and their counts."""
     names = sorted(w for w in frequent if w != END)
     symbols = {w: k for k, w in enumerate(names, 1)} | {END: len(names) + 1}
@@ -199,6 +222,7 @@ def grow(docs: DataFrame, frequent: dict[bytes, int], n_all: int, n_types: int,
             weight, node = weight * rest[node], model.parent[node]
         return weight * by_symbol[symbol]
 
+    texts = scratch.write(coded(docs, symbols), "coded")
     path = np.arange(1, len(names) + 1, dtype=np.int64)
     words = [(k,) for k in path.tolist()]
     retained: dict[tuple[int, ...], int] = {}
@@ -207,7 +231,7 @@ def grow(docs: DataFrame, frequent: dict[bytes, int], n_all: int, n_types: int,
             break
         model.paths.append(path)
         counts: dict[int, dict[int, int]] = {}
-        rows = level_counts(docs, model).where((F.col("n") >= t.next_count(n_all)) | (F.pmod("code", F.lit(model.base)) == model.base - 1))
+        rows = level_counts(texts, model).where((F.col("n") >= t.next_count(n_all)) | (F.pmod("code", F.lit(model.base)) == model.base - 1))
         for row in rows.collect():  # at most n_all / next_count rows, and a total for each of n_all / context_count contexts: both as the root of n_all
             counts.setdefault(row["code"] // model.base, {})[row["code"] % model.base] = row["n"]
         nodes, longer = np.zeros(len(path), np.int64), []
@@ -233,6 +257,7 @@ def grow(docs: DataFrame, frequent: dict[bytes, int], n_all: int, n_types: int,
         model.nodes.append(nodes)
         longer.sort()
         path, words = np.array([c for c, _ in longer], np.int64), [w for _, w in longer]
+    scratch.drop(texts)
     pairs = sorted((node * model.base + s, log10(x)) for node, table in tables.items() for s, x in table.items())
     model.codes, model.log_p = np.array([c for c, _ in pairs], np.int64), np.array([x for _, x in pairs])
     return model
@@ -256,7 +281,7 @@ def score_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text", t: Tre
     n_all, n_types = sums.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # At most n_all / context_count words, as the root of n_all.
     often = sums.where((F.col("c") >= t.context_count(n_all)) | (F.col("w") == F.lit(END)))
-    model = grow(rows.where("not held"), {bytes(r["w"]): r["c"] for r in often.collect()}, n_all, n_types, t)
+    model = grow(rows.where("not held"), {bytes(r["w"]): r["c"] for r in often.collect()}, n_all, n_types, t, scratch)
     hot, columns = F.broadcast(often), ["block", "w", "c"]
     rare = words.join(hot, "w", "left_anti").select("block", "w").join(sums, "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     counted = words.join(hot, "w").select(columns).union(rare.select(columns))
@@ -272,11 +297,13 @@ def score_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text", t: Tre
         out = []
         for batch in group.to_batches():
             for part in slices(batch):
-                for id_, text, held in zip(part.column("id").to_pylist(), byte_texts(part.column("text")), part.column("held").to_pylist()):
-                    w = tokens(text)
-                    at = np.fromiter(map(number, w), np.int64, len(w))
-                    root = roots[at]
-                    out.append((id_, held, len(w), int((counts[at] > 0).sum()), n_all, float(root.sum()), model.score(symbols[at], root)))
+                # The texts of a slice one after another, so that numpy is called once for all.
+                w = [tokens(x) for x in byte_texts(part.column("text"))]
+                sizes = np.fromiter(map(len, w), np.int64, len(w))
+                at = np.fromiter(map(number, chain.from_iterable(w)), np.int64, int(sizes.sum()))
+                root, first = roots[at], np.cumsum(sizes) - sizes  # no text is without a token
+                sums = [np.add.reduceat(x, first).tolist() for x in ((counts[at] > 0).astype(np.int64), root, model.scores(symbols[at], root))]
+                out += zip(part.column("id").to_pylist(), part.column("held").to_pylist(), sizes.tolist(), sums[0], [n_all] * len(w), sums[1], sums[2])
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 7, kinds)], names=[x.split()[0] for x in RESULT.split(", ")])
 
