@@ -106,6 +106,18 @@ def test_range_sums_meet_few_rows(spark, sf_dir):
     assert "NestedLoop" not in text and text.index("partial_count") > text.index("Join")  # summed below the join
 
 
+def test_range_sums_are_by_price_not_by_part(spark, tmp_path):
+    """Parts of one price share its sums, so nothing is generated for each part; bands at the borders of blocks, below zero and without customers."""
+    balances = [None, 0.0, -999.85, -5.0, 5.0, 5.01, 10.01, 10.02, 100.1, 100.1, 904.99, 910.01, 955.55]
+    prices = [None, 0.0, 5.0, 5.01, 15.02, -1000.0, 500.0, 900.0, 910.01, *[950.55] * 50]
+    spark.createDataFrame(list(enumerate(balances)), "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k // 2, x) for k, x in enumerate(prices)], "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES["c08_range_join"](spark, str(tmp_path))
+    assert_same(df, ORACLES["c08_range_join"], str(tmp_path))
+    logical = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline(" not in logical and "sequence(" not in logical
+
+
 def test_scratch_folders_go_with_the_driver(tmp_path):
     """A driver of its own writes a table and ends; its folder is gone."""
     import os
