@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import shared_folder, table
@@ -54,9 +54,13 @@ def dealt(df: DataFrame, column: str, by: str, rows_a_file: int = 1_000_000) ->
     counts = df.groupBy(column).agg(F.count("*").alias("_rows"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("_rows") / rows_a_file))
     tasks = counts.agg(F.sum(parts).cast("long")).first()[0] or 1
+    # A value's tasks are numbered from _first on, so that no two parts meet in one task.
     held = counts.select(F.col(column).alias("_value"), parts.alias("_parts"))
-    some = df.join(held, F.col(column).eqNullSafe(F.col("_value")))
-    return some.repartition(max(1, tasks), column, F.pmod(F.xxhash64(by), F.col("_parts"))).drop("_value", "_parts")
+    held = held.withColumn("_first", F.sum("_parts").over(Window.orderBy("_value")) - F.col("_parts"))
+    # Broadcast, a row a folder: a shuffled join would bring all rows of a value to one task.
+    some = df.join(F.broadcast(held), F.col(column).eqNullSafe(F.col("_value")))
+    task = F.col("_first") + F.pmod(F.xxhash64(by), F.col("_parts"))
+    return some.repartitionById(max(1, tasks), task.cast("int")).drop("_value", "_parts", "_first")
 
 
 def c50_parquet_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:

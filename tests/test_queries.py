@@ -82,6 +82,24 @@ def test_tasks_of_a_partitioned_write_grow_with_its_rows(spark, sf_dir):
         assert tasks.rdd.getNumPartitions() == n and tasks.count() == lines.count() and tasks.columns == lines.columns
 
 
+def test_no_task_of_a_partitioned_write_has_two_parts(spark):
+    """Each task has one value and about rows_a_file rows, a null and a hot value too, and no shuffle before brings a value to one task."""
+    from collections import Counter
+
+    from millrace.sources.sinks import dealt
+
+    rows = spark.range(40_000).selectExpr("id", "CASE WHEN id % 4 = 0 THEN concat('v', id % 12) WHEN id % 101 > 0 THEN 'hot' END AS g")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = dealt(rows, "g", "id", 1000)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        found = Counter((r["t"], r["g"]) for r in out.selectExpr("spark_partition_id() AS t", "g").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len({t for t, _ in found}) == len(found) and max(found.values()) < 1250 and sum(found.values()) == 40_000
+
+
 def test_percentiles_with_ties_nulls_and_other_steps(spark):
     import random
     import statistics
