@@ -100,6 +100,18 @@ def test_no_task_of_a_partitioned_write_has_two_parts(spark):
     assert len({t for t, _ in found}) == len(found) and max(found.values()) < 1250 and sum(found.values()) == 40_000
 
 
+def test_grouped_map_takes_many_customers_a_call(spark, tmp_path):
+    """Calls grow with rows, not with customers; large keys, customers whose total is null and orders without a customer."""
+    from millrace.functions.udfs import c43_grouped_map
+
+    rows = spark.range(6000).selectExpr("id AS o_orderkey", "IF(id % 7 = 0, NULL, 9007199254740992 + id % 1500) AS o_custkey", "IF(id % 1500 = 3 OR id % 11 = 0, NULL, round(pmod(xxhash64(id), 90000) / 100D + 1, 2)) AS o_totalprice")
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    for more in ({}, {"rows_a_group": 500}):
+        df = c43_grouped_map(spark, str(tmp_path), **more)
+        assert "FlatMapGroupsInPandas [bucket" in df._jdf.queryExecution().optimizedPlan().toString()
+        assert_same(df, ORACLES["c43_grouped_map"], str(tmp_path))
+
+
 def test_percentiles_with_ties_nulls_and_other_steps(spark):
     import random
     import statistics
