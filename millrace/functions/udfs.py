@@ -1,9 +1,10 @@
-"""User-defined functions over Arrow batches; the table function alone is called once a row, with Arrow as its transport."""
+"""User-defined functions over Arrow batches; none is called once a row."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -68,13 +69,15 @@ def c43_partition_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c44_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table function that parts names, through a lateral join."""
+    """A table function that parts names, a batch of the table's rows a call; a null name has no parts."""
 
-    @F.udtf(returnType="pos int, word string", useArrow=True)
     class Parts:
-        def eval(self, text: str):
-            for k, word in enumerate((text or "").split(" ")):
-                yield k, word
-
-    spark.udtf.register("name_parts", Parts)
-    return spark.sql("SELECT p_partkey, pos, word FROM {part}, LATERAL name_parts(p_name)", part=table(spark, sf_dir, "part"))
+        def eval(self, part: pa.RecordBatch) -> Iterator[pa.Table]:
+            words = pc.split_pattern(part.column("p_name"), " ")
+            counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+            pos = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            keys = part.column("p_partkey").take(pc.list_parent_indices(words))
+            yield pa.table({"p_partkey": keys, "pos": pa.array(pos, pa.int32()), "word": pc.list_flatten(words)})
+
+    spark.udtf.register("name_parts", F.arrow_udtf(Parts, returnType="p_partkey long, pos int, word string"))
+    return spark.sql("SELECT p_partkey, pos, word FROM name_parts(TABLE({part}))", part=table(spark, sf_dir, "part").select("p_partkey", "p_name"))

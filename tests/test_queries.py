@@ -112,6 +112,15 @@ def test_grouped_map_takes_many_customers_a_call(spark, tmp_path):
         assert_same(df, ORACLES["c43_grouped_map"], str(tmp_path))
 
 
+def test_table_function_takes_batches(spark, tmp_path):
+    """Empty and null names, spaces at the ends and in a row, and more rows than a batch has; no row is joined with its own call."""
+    rows = spark.range(25_000).selectExpr("IF(id = 9, NULL, id) AS p_partkey", "CASE id % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN ' ' WHEN 3 THEN ' a  b ' WHEN 4 THEN 'größe rot' ELSE concat('w', id) END AS p_name")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES["c44_udtf"](spark, str(tmp_path))
+    assert "ArrowEvalPythonUDTF" in df._jdf.queryExecution().executedPlan().toString()
+    assert_same(df, ORACLES["c44_udtf"], str(tmp_path))
+
+
 def test_percentiles_with_ties_nulls_and_other_steps(spark):
     import random
     import statistics
