@@ -459,3 +459,26 @@ def test_stages_take_odd_rows(spark, sf_dir, stage):
     if stage is not corpus_pipeline.mixing:
         assert out.columns == corpus_pipeline.COLUMNS
     assert stage(spark, docs.limit(0), sf_dir).collect() == []
+
+
+def test_shuffles_of_a_scratch_table_go_once_it_is_written(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from millrace.llm.common import SHUFFLE_CLEANUP, Scratch
+
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {x for i in range(blocks.size()) if (x := blocks.apply(i).toString()).startswith("shuffle_")}
+
+    before, held = shuffles(), spark.conf.get(SHUFFLE_CLEANUP, None)
+    df = spark.range(20_000).groupBy((F.col("id") % 999).alias("k")).agg(F.count("*").alias("n"))
+    out = Scratch(spark, "test").write(df, "x")
+    for _ in range(50):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(SHUFFLE_CLEANUP, None) == held
+    # The query that was written can still be run, and the table read.
+    assert df.agg(F.sum("n")).first()[0] == out.agg(F.sum("n")).first()[0] == 20_000
